@@ -1,0 +1,383 @@
+"""The registered graph queries, over whole tables, and the SQL they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.graph import Graph, undirected
+from graphloom.operators import mining, patterns, relational, vertex
+from graphloom.plans import algorithms
+from graphloom.sources import layout, sinks, text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+#: Frequent means at least so many subgraphs in the registered queries.
+SUPPORT = 60
+
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _bag(spark: SparkSession, sf: str) -> Graph:
+    """All edges of the edge table with both ends, but self-loops."""
+    return Graph.from_edges(spark.read.parquet(f"{sf}/edges.parquet").select("src", F.col("target").alias("dst")))
+
+
+def _lists(spark: SparkSession, sf: str) -> Graph:
+    """The adjacency table, labels of one byte."""
+    return Graph.from_adjacency(spark.read.parquet(f"{sf}/adjacency.parquet").select("id", "label", "neighbours"))
+
+
+def _simple(spark: SparkSession, sf: str) -> Graph:
+    """The adjacency table, each link in both directions and once."""
+    return _lists(spark, sf).symmetrize().simplify()
+
+
+def _matches(spark: SparkSession, sf: str) -> Graph:
+    return Graph.from_edges(spark.read.parquet(f"{sf}/match_pairs.parquet").select("src", F.col("target").alias("dst")))
+
+
+_E = "e AS (SELECT src, target AS dst FROM edges WHERE src IS NOT NULL AND target IS NOT NULL AND src <> target)"
+_P = "p AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM e)"
+_A = "a AS (SELECT DISTINCT id AS src, n AS dst FROM (SELECT id, unnest(neighbours) AS n FROM adjacency WHERE id IS NOT NULL) WHERE n IS NOT NULL AND n <> id)"
+_AP = f"{_A}, p AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM a), s AS (SELECT lo AS x, hi AS y FROM p UNION ALL SELECT hi, lo FROM p)"
+_L = "l AS (SELECT id, CAST((coalesce(label, 0) % 256 + 256) % 256 AS INTEGER) AS label FROM adjacency WHERE id IS NOT NULL)"
+_AL = f"{_AP}, {_L}, sl AS (SELECT x, y, coalesce(lx.label, 0) AS lx, coalesce(ly.label, 0) AS ly FROM s LEFT JOIN l lx ON lx.id = x LEFT JOIN l ly ON ly.id = y)"
+_V = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+_M = "m AS (SELECT DISTINCT src, target AS dst FROM match_pairs WHERE src IS NOT NULL AND target IS NOT NULL AND src <> target)"
+
+
+# Sources and sinks
+@_query("""
+WITH f AS (SELECT string_split(trim(regexp_replace(line, '[\\t, \\r]+', ' ', 'g'), ' '), ' ') AS f FROM raw_edge_lines WHERE line IS NOT NULL AND NOT regexp_matches(line, '^[#%]')),
+n AS (SELECT CASE WHEN regexp_full_match(f[1], '[+-]?[0-9]+') THEN TRY_CAST(f[1] AS BIGINT) END AS src, CASE WHEN regexp_full_match(f[2], '[+-]?[0-9]+') THEN TRY_CAST(f[2] AS BIGINT) END AS dst FROM f)
+SELECT src, dst FROM n WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst""")
+def edge_list_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of edge lists as edges, whatever their delimiter."""
+    return text.parse_edge_list(spark.read.parquet(f"{sf}/raw_edge_lines.parquet").select(F.col("line").alias("value")))
+
+
+@_query(f"WITH {_A}, {_L} SELECT src, dst, CAST(coalesce(x.label, 0) AS INTEGER) AS src_label, CAST(coalesce(y.label, 0) AS INTEGER) AS dst_label FROM a LEFT JOIN l x ON x.id = src LEFT JOIN l y ON y.id = dst")
+def adjacency_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _lists(spark, sf).labelled_edges()
+
+
+@_query(f"WITH {_E}, low AS (SELECT min(least(src, dst)) AS x FROM e) SELECT src - x AS src, dst - x AS dst FROM e, low")
+def shifted_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _bag(spark, sf).shift_ids().edges
+
+
+@_query(f"""
+WITH {_E}, b AS (SELECT min(least(src, dst)) AS low, max(greatest(src, dst)) AS high FROM e),
+r AS (SELECT i, low + i * ((high - low + 1) // 16) AS first_id, CASE WHEN i = 15 THEN high ELSE low + (i + 1) * ((high - low + 1) // 16) - 1 END AS last_id FROM b, range(16) t(i))
+SELECT CAST(i AS INTEGER) AS part, first_id, last_id, count(src) AS n_edges FROM r LEFT JOIN e ON src BETWEEN first_id AND last_id GROUP BY ALL""")
+def range_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.describe(*layout.partition_by_range(_bag(spark, sf).edges, 16))
+
+
+@_query(f"""
+WITH {_E}, b AS (SELECT min(least(src, dst)) AS low, max(greatest(src, dst)) AS high FROM e),
+k AS (SELECT src, row_number() OVER (ORDER BY src) AS r, count(*) OVER () AS n FROM e),
+cuts AS (SELECT DISTINCT src AS bound FROM k, range(1, 16) t(i) WHERE r = CAST(ceil(i / 16.0 * n) AS BIGINT)),
+starts AS (SELECT low AS first_id FROM b UNION SELECT bound + 1 FROM cuts, b WHERE bound < high),
+r AS (SELECT row_number() OVER (ORDER BY first_id) - 1 AS i, first_id, coalesce(lead(first_id) OVER (ORDER BY first_id) - 1, high) AS last_id FROM starts, b)
+SELECT CAST(i AS INTEGER) AS part, first_id, last_id, count(src) AS n_edges FROM r LEFT JOIN e ON src BETWEEN first_id AND last_id GROUP BY ALL""")
+def edge_balanced_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.describe(*layout.partition_by_edges(_bag(spark, sf).edges, 16))
+
+
+@_query(f"WITH {_AP} SELECT x || ' 0 ' || string_agg(CAST(y AS VARCHAR), ' ' ORDER BY y) AS value FROM s GROUP BY x")
+def adjacency_text(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.adjacency_lines(_simple(spark, sf).edges)
+
+
+@_query(f"""
+WITH {_AP}, w AS (SELECT sum(d * (d - 1) // 2) AS n FROM (SELECT count(*) AS d FROM s GROUP BY x))
+SELECT 'init' AS stage, 1 AS level, count(*) AS n_rows FROM p UNION ALL SELECT 'expand', 2, CAST(n AS BIGINT) FROM w""")
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _simple(spark, sf).labelled_edges()
+    first = mining.init(edges)
+    return sinks.stage_metrics({("init", 1): first, ("expand", 2): mining.expand(first, edges, 3)})
+
+
+# Scatter and gather
+@_query(f"WITH {_E} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)")
+def edges_symmetric(spark: SparkSession, sf: str) -> DataFrame:
+    return _bag(spark, sf).symmetrize().simplify().edges
+
+
+@_query(f"WITH {_E} SELECT dst AS target, src AS origin FROM e")
+def scatter_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return vertex.scatter(_bag(spark, sf).edges, target=F.col("dst"), origin=F.col("src"))
+
+
+@_query(f"WITH {_E}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT dst AS target, round(1.0 / degree, 9) AS r FROM e JOIN d ON id = src")
+def scatter_with_state(spark: SparkSession, sf: str) -> DataFrame:
+    g = _bag(spark, sf)
+    return vertex.scatter_vertices(g.edges, g.degrees(), target=F.col("dst"), r=F.round(F.lit(1.0) / F.col("degree"), 9))
+
+
+@_query(f"WITH {_E}, {_V}, low AS (SELECT dst AS id, min(src) AS c FROM e GROUP BY dst) SELECT v.id, coalesce(least(v.id, c), v.id) AS component FROM v LEFT JOIN low USING (id)")
+def gather_min(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.components_rounds(_bag(spark, sf), 1)
+
+
+@_query(f"WITH {_E}, {_V}, d AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src) SELECT v.id, coalesce(n, 0) AS degree FROM v LEFT JOIN d USING (id)")
+def degree(spark: SparkSession, sf: str) -> DataFrame:
+    g = _bag(spark, sf)
+    return vertex.with_degrees(g.ends(), g.edges)
+
+
+@_query(f"""
+WITH {_E}, k AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) >= 3), f AS (SELECT src, dst FROM e WHERE src IN (FROM k) AND dst IN (FROM k)),
+b AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT DISTINCT src AS id FROM b))
+SELECT x.i AS src, y.i AS dst FROM b JOIN n x ON x.id = src JOIN n y ON y.id = dst""")
+def prune_by_degree(spark: SparkSession, sf: str) -> DataFrame:
+    g = _bag(spark, sf)
+    return vertex.prune_graph(Graph(g.edges, vertex.with_degrees(g.ends(), g.edges)), F.col("degree") >= 3).edges
+
+
+# Relational algebra
+@_query(f"WITH {_E} SELECT x.src AS origin, count(*) AS n_paths FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst GROUP BY 1")
+def join_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-edge paths between different vertices, counted by their start."""
+    e = _bag(spark, sf).edges
+    updates = vertex.scatter(e, target=F.col("dst"), origin=F.col("src"))
+    paths = relational.join_edges(updates, e, lambda u, d: u("origin") != d("dst"), lambda u, d: {"target": d("dst"), "origin": u("origin")})
+    return paths.groupBy("origin").agg(F.count("*").alias("n_paths"))
+
+
+@_query(f"WITH {_E} SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)")
+def set_difference_bag(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges without an edge back, repeated as they are."""
+    e = _bag(spark, sf).edges
+    return relational.difference(e, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+@_query(f"WITH {_E}, {_M} SELECT src, dst FROM e UNION ALL SELECT src, dst FROM m")
+def union_bag(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.append(_bag(spark, sf).edges, relational.remove_duplicates(_matches(spark, sf).edges))
+
+
+@_query(f"WITH {_E} SELECT DISTINCT src, dst FROM e")
+def remove_dup(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.remove_duplicates(_bag(spark, sf).edges)
+
+
+@_query(f"WITH {_E} SELECT count(*) AS n_rows FROM e")
+def stream_count(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.row_count(_bag(spark, sf).edges)
+
+
+# Programs on relations and vertices
+@_query(f"WITH {_E} SELECT x.src AS a, count(*) AS n_triangles FROM e x JOIN e y ON x.dst = y.src AND x.src < x.dst AND y.src < y.dst JOIN e z ON z.src = y.dst AND z.dst = x.src GROUP BY 1")
+def triangle_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Triangles a < b < c with edges a->b, b->c, c->a, repeated edges multiplying, by a."""
+    return algorithms.triangles(_bag(spark, sf).edges).groupBy("a").agg(F.sum("n").alias("n_triangles"))
+
+
+@_query(f"WITH {_E}, {_P} SELECT x.lo AS a, count(*) AS n_triangles FROM p x JOIN p y ON x.hi = y.lo JOIN p z ON z.lo = x.lo AND z.hi = y.hi GROUP BY 1")
+def triangle_count_undirected(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = undirected(_bag(spark, sf).edges)
+    return algorithms.undirected_triangles(pairs).groupBy("a").agg(F.count("*").alias("n_triangles"))
+
+
+@_query(f"WITH RECURSIVE {_M}, t AS (SELECT src, dst FROM m UNION SELECT t.src, m.dst FROM t JOIN m ON t.dst = m.src WHERE t.src <> m.dst) SELECT src, count(*) AS n_reached FROM t GROUP BY src")
+def transitive_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertices reachable over match pairs in their direction, counted by the start."""
+    return algorithms.transitive_closure(_matches(spark, sf).edges).groupBy("src").agg(F.count("*").alias("n_reached"))
+
+
+_ROUND = "{n} AS (SELECT v.id, CASE WHEN least(v.id, low) IS NULL THEN v.c ELSE least(v.c, low) END AS c FROM {o} v LEFT JOIN (SELECT dst AS id, min(c) AS low FROM e JOIN {o} ON id = src GROUP BY dst) USING (id))"
+
+
+@_query(f"WITH {_E}, {_V}, c0 AS (SELECT id, id AS c FROM v), {_ROUND.format(n='c1', o='c0')}, {_ROUND.format(n='c2', o='c1')} SELECT id, c AS component FROM c2")
+def components_2rounds(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.components_rounds(_bag(spark, sf), 2)
+
+
+@_query(f"""
+WITH RECURSIVE {_E}, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+reach(v, g) USING KEY (v) AS (
+  SELECT a, least(a, min(b)) FROM s GROUP BY a
+  UNION SELECT s.b, min(r.g) FROM reach r JOIN s ON s.a = r.v JOIN recurring.reach o ON o.v = s.b WHERE r.g < o.g GROUP BY s.b)
+SELECT v AS id, g AS component FROM reach""")
+def components(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.components(_bag(spark, sf))
+
+
+def _rank_sql(cumulative: bool) -> str:
+    rounds = []
+    for i in range(4):
+        s = f"r{i}.s + g{i}.got" if cumulative else f"g{i}.got"
+        rounds.append(f"g{i} AS (SELECT dst AS id, sum(rank / degree) AS got FROM e JOIN r{i} ON r{i}.id = src JOIN d ON d.id = src GROUP BY dst)")
+        rounds.append(f"r{i + 1} AS (SELECT id, CASE WHEN got IS NULL THEN s ELSE {s} END AS s, CASE WHEN got IS NULL THEN rank ELSE 0.15 + 0.85 * ({s}) END AS rank FROM r{i} LEFT JOIN g{i} USING (id))")
+    return f"WITH {_E}, {_V}, d AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS degree FROM e GROUP BY src), r0 AS (SELECT id, CAST(0 AS DOUBLE) AS s, CAST(1 AS DOUBLE) AS rank FROM v), {', '.join(rounds)} "
+
+
+@_query(_rank_sql(True) + "SELECT id, round(rank, 6) AS rank FROM r4")
+def pagerank_cumulative4(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.pagerank(_bag(spark, sf), 4, "cumulative").select("id", F.round("rank", 6).alias("rank"))
+
+
+@_query(_rank_sql(False) + "SELECT id, round(rank, 6) AS rank FROM r4")
+def pagerank_standard4(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.pagerank(_bag(spark, sf), 4, "standard").select("id", F.round("rank", 6).alias("rank"))
+
+
+# Cliques
+_C3 = "c3 AS (SELECT x.lo AS a, x.hi AS b, y.hi AS c FROM p x JOIN p y ON x.hi = y.lo JOIN p z ON z.lo = x.lo AND z.hi = y.hi)"
+_C4 = "c4 AS (SELECT t.a, t.b, t.c, u.c AS d FROM c3 t JOIN c3 u ON u.a = t.a AND u.b = t.b AND u.c > t.c JOIN p z ON z.lo = t.c AND z.hi = u.c)"
+
+
+@_query(f"WITH {_AP}, {_C3} SELECT a, b, c FROM c3")
+def clique3(spark: SparkSession, sf: str) -> DataFrame:
+    m = algorithms.k_cliques(_simple(spark, sf).edges, 3)[3]
+    return m.select(*[F.col("members")[i].alias(x) for i, x in enumerate("abc")])
+
+
+@_query(f"WITH {_AP}, {_C3}, {_C4} SELECT a, b, c, d FROM c4")
+def clique4(spark: SparkSession, sf: str) -> DataFrame:
+    m = algorithms.k_cliques(_simple(spark, sf).edges, 4)[4]
+    return m.select(*[F.col("members")[i].alias(x) for i, x in enumerate("abcd")])
+
+
+@_query(f"WITH {_AP}, {_C3}, {_C4} SELECT 2 AS size, count(*) AS n_cliques FROM p UNION ALL SELECT 3, count(*) FROM c3 UNION ALL SELECT 4, count(*) FROM c4")
+def clique_levels_counting(spark: SparkSession, sf: str) -> DataFrame:
+    """Cliques of each size, by the counting form."""
+    levels = algorithms.k_cliques(_simple(spark, sf).edges, 4, counting=True)
+    return sinks.stage_metrics({("clique", k): df for k, df in levels.items()}).select(F.col("level").alias("size"), F.col("n_rows").alias("n_cliques"))
+
+
+@_query(f"WITH {_AP}, {_C3} SELECT a, b, c FROM c3")
+def general_cliques3(spark: SparkSession, sf: str) -> DataFrame:
+    """Cliques found by growing subgraphs and collecting the complete ones."""
+    m = algorithms.general_cliques(Graph(_simple(spark, sf).edges, _lists(spark, sf).vertices), 3)
+    return m.select(*[F.col("members")[i].alias(x) for i, x in enumerate("abc")])
+
+
+@_query(
+    _rank_sql(True)
+    + f""", k AS (SELECT id FROM r4 WHERE rank >= 2), f AS (SELECT src, dst FROM e WHERE src IN (FROM k) AND dst IN (FROM k)),
+p AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM f), {_C3}
+SELECT 2 AS size, count(*) AS n_cliques FROM p UNION ALL SELECT 3, count(*) FROM c3"""
+)
+def ranked_cliques(spark: SparkSession, sf: str) -> DataFrame:
+    """Cliques among vertices of rank 2 and more."""
+    levels = algorithms.ranked_cliques(_bag(spark, sf), 2.0, 3)
+    return sinks.stage_metrics({("clique", k): df for k, df in levels.items()}).select(F.col("level").alias("size"), F.col("n_rows").alias("n_cliques"))
+
+
+# Motifs
+def _mined(spark: SparkSession, sf: str) -> Graph:
+    g = _lists(spark, sf)
+    return Graph(g.symmetrize().simplify().edges, g.vertices)
+
+
+_MOTIFS = f"""
+WITH {_AP}, {_C3}, d AS (SELECT x, count(*) AS n FROM s GROUP BY x),
+wedge AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS k FROM d), star AS (SELECT CAST(sum(n * (n - 1) * (n - 2) // 6) AS BIGINT) AS k FROM d), tri AS (SELECT count(*) AS k FROM c3),
+path AS (SELECT CAST(sum((u.n - 1) * (w.n - 1)) AS BIGINT) - 3 * (SELECT k FROM tri) AS k FROM p JOIN d u ON u.x = lo JOIN d w ON w.x = hi),
+square AS (SELECT CAST(sum(c * (c - 1) // 2) // 2 AS BIGINT) AS k FROM (SELECT f.x AS a, g.x AS b, count(*) AS c FROM s f JOIN s g ON f.y = g.y AND f.x < g.x GROUP BY 1, 2)),
+tail AS (SELECT CAST(sum(n - 2) AS BIGINT) AS k FROM (SELECT unnest([a, b, c]) AS x FROM c3) JOIN d USING (x))
+"""
+
+
+def _motif_rows(rows: list[tuple[str, int, int, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{p}' AS pattern, {v} AS n_vertices, {e} AS n_edges, k AS support FROM {t}" for p, v, e, t in rows)
+
+
+@_query(_MOTIFS + _motif_rows([("0 0 0|0-1 0-2", 3, 2, "wedge"), ("0 0 0|0-1 0-2 1-2", 3, 3, "tri")]))
+def motif3(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.motif_counts(_mined(spark, sf), 3)
+
+
+@_query(
+    _MOTIFS
+    + _motif_rows(
+        [
+            ("0 0 0|0-1 0-2", 3, 2, "wedge"), ("0 0 0|0-1 0-2 1-2", 3, 3, "tri"), ("0 0 0 0|0-1 0-2 0-3", 4, 3, "star"),
+            ("0 0 0 0|0-1 0-2 1-3", 4, 3, "path"), ("0 0 0 0|0-1 0-2 1-3 2-3", 4, 4, "square"), ("0 0 0 0|0-1 0-2 0-3 1-2", 4, 4, "tail"),
+        ]
+    )
+)
+def motif4(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.motif_counts(_mined(spark, sf), 4)
+
+
+@_query(None)
+def motif4_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """As the ordering rule gives them: with four edges some sets count more than once."""
+    return algorithms.motif_counts(_mined(spark, sf), 4, dedupe="rule")
+
+
+@_query(_MOTIFS + _motif_rows([("0 0 0|0-1 0-2", 3, 2, "wedge")]))
+def motif_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The shuffled form of growing, two edges."""
+    edges = _mined(spark, sf).labelled_edges()
+    return patterns.count_patterns(mining.expand_at(mining.shuffle_by_vertex(mining.init(edges)), edges, 3))
+
+
+# Frequent subgraphs
+_PAIR = f"WITH {_AL}, c1 AS (SELECT least(lx, ly) AS l0, greatest(lx, ly) AS l1, count(*) AS support FROM sl WHERE x < y GROUP BY 1, 2), f1 AS (SELECT * FROM c1 WHERE support >= {SUPPORT})"
+
+
+@_query(_PAIR + "SELECT l0 || ' ' || l1 || '|0-1' AS pattern, 2 AS n_vertices, 1 AS n_edges, support FROM f1")
+def fsm_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.frequent_subgraphs(_mined(spark, sf), 1, SUPPORT, max_vertices=2)[1][0]
+
+
+@_query(_PAIR + "SELECT x AS src, y AS dst FROM sl JOIN f1 ON l0 = least(lx, ly) AND l1 = greatest(lx, ly) WHERE x < y")
+def frequent_rows(spark: SparkSession, sf: str) -> DataFrame:
+    kept = algorithms.frequent_subgraphs(_mined(spark, sf), 1, SUPPORT, max_vertices=2)[1][1]
+    return kept.select(F.col("v")[0].alias("src"), F.col("v")[1].alias("dst"))
+
+
+def _wedges(kept: str) -> str:
+    """Two-edge classes of wedges (centre c, ends x < y) of which the wanted edges are frequent."""
+    return (
+        _PAIR
+        + f""", g AS (SELECT sl.x, sl.y, lx, ly, l0 IS NOT NULL AS ok FROM sl LEFT JOIN f1 ON l0 = least(lx, ly) AND l1 = greatest(lx, ly)),
+w AS (SELECT f.lx AS c, least(f.ly, h.ly) AS a, greatest(f.ly, h.ly) AS b FROM g f JOIN g h ON f.x = h.x AND f.y < h.y WHERE {kept}),
+t AS (SELECT CASE WHEN c <= a THEN c || ' ' || a || ' ' || b || '|0-1 0-2' WHEN c <= b THEN a || ' ' || c || ' ' || b || '|0-1 1-2' ELSE a || ' ' || b || ' ' || c || '|0-2 1-2' END AS pattern, count(*) AS support FROM w GROUP BY 1)
+SELECT pattern, 3 AS n_vertices, 2 AS n_edges, support FROM t WHERE support >= {SUPPORT}"""
+    )
+
+
+@_query(_wedges("f.ok OR h.ok"))
+def fsm_wedges(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequent two-edge subgraphs, exact."""
+    return algorithms.frequent_subgraphs(_mined(spark, sf), 2, SUPPORT, max_vertices=3)[2][0]
+
+
+@_query(_wedges("f.ok"))
+def fsm_wedges_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequent two-edge subgraphs as tuples grow: only from a kept first edge."""
+    return algorithms.frequent_subgraphs(_mined(spark, sf), 2, SUPPORT, mode="parity", max_vertices=3)[2][0]
+
+
+@_query(None)
+def fsm_k3(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequent subgraphs of up to three edges and three vertices, exact."""
+    out = None
+    for counts, _ in algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT).values():
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+@_query(None)
+def fsm_k3_unfiltered(spark: SparkSession, sf: str) -> DataFrame:
+    """The variant with k(k-1)/2 levels of which the last isn't filtered, as tuples grow."""
+    return algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT, mode="parity", filter_last=False)[3][0]
