@@ -9,7 +9,6 @@ beside the subgraphs they stand for.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import permutations, product
 from math import factorial, prod
 
@@ -52,7 +51,6 @@ def numberings(n: int, labels: Sequence[int], edges: Edges) -> Iterator[tuple[in
         yield tuple(number)
 
 
-@lru_cache(maxsize=100_000)
 def canonical_code(labels: tuple[int, ...], edges: Edges) -> str:
     """The code of a graph with vertices 0 .. n-1 of these labels and these undirected edges."""
     n = len(labels)
@@ -79,7 +77,8 @@ def automorphisms(labels: tuple[int, ...], edges: Edges) -> list[tuple[int, ...]
 
 def code_of_quick(quick: str) -> str:
     """The canonical code of a quick pattern (see ``operators.mining.quick_pattern``)."""
-    ids, history, labels = ([int(x) for x in part.split(",")] for part in quick.split("|"))
+    ids, history, *given = ([int(x) for x in part.split(",")] for part in quick.split("|"))
+    labels = given[0] if given else [0] * len(ids)
     edges = tuple(sorted({tuple(sorted((ids[history[j]] - 1, ids[j] - 1))) for j in range(1, len(ids))}))
     label_of = {i - 1: x for i, x in zip(ids, labels, strict=True)}
     return canonical_code(tuple(label_of[v] for v in range(len(label_of))), edges)

@@ -1,9 +1,10 @@
 """Growing connected subgraphs one edge at a time.
 
-A tuple is a row ``v, h, l, e``: ``v`` the vertices in the order of growth, where a
+A tuple is a row ``v, h, l, e, q, n``: ``v`` the vertices in the order of growth, where a
 vertex stands again for each cycle it closes; ``h`` for each position the position it
-grew from; ``l`` the labels; ``e`` the edges as struct(lo, hi) in the order of growth. Position
-j > 0 stands for the edge from ``v[h[j]]`` to ``v[j]``.
+grew from; ``l`` the labels; ``e`` the edges as struct(lo, hi) in the order of growth; ``q``
+the vertices numbered from 1 in the order they appear; ``n`` the number of distinct vertices.
+Position j > 0 stands for the edge from ``v[h[j]]`` to ``v[j]``.
 
 Edges of the graph: symmetric ``src, dst, src_label, dst_label``.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EDGE = "struct<lo:bigint,hi:bigint>"
+COLUMNS = ("v", "h", "l", "e", "q", "n")
 
 
 def _edge(a: Column, b: Column) -> Column:
@@ -23,13 +24,13 @@ def _edge(a: Column, b: Column) -> Column:
 def init(edges: DataFrame) -> DataFrame:
     """Tuples of one edge, src < dst."""
     return edges.where(F.col("src") < F.col("dst")).select(
-        F.array("src", "dst").alias("v"), F.array(F.lit(0), F.lit(0)).alias("h"), F.array("src_label", "dst_label").alias("l"), F.array(_edge(F.col("src"), F.col("dst"))).alias("e")
+        F.array("src", "dst").alias("v"), F.array(F.lit(0), F.lit(0)).alias("h"), F.array("src_label", "dst_label").alias("l"), F.array(_edge(F.col("src"), F.col("dst"))).alias("e"), F.array(F.lit(1), F.lit(2)).alias("q"), F.lit(2).alias("n")
     )
 
 
-def n_vertices(v: str = "v") -> Column:
+def n_vertices() -> Column:
     """Distinct vertices of a tuple."""
-    return F.size(F.array_distinct(v))
+    return F.col("n")
 
 
 def by_vertex(tuples: DataFrame) -> DataFrame:
@@ -38,10 +39,15 @@ def by_vertex(tuples: DataFrame) -> DataFrame:
     return x.where(F.array_position("v", F.col("key")) - 1 == F.col("i"))
 
 
-def _appended(x: DataFrame, w: Column, label: Column, extra: list[str]) -> DataFrame:
+def _appended(x: DataFrame, w: Column, label: Column, number: Column, n: Column) -> DataFrame:
     return x.select(
-        F.concat("v", F.array(w)).alias("v"), F.concat("h", F.array("i")).alias("h"), F.concat("l", F.array(label)).alias("l"), F.concat("e", F.array(_edge(F.col("key"), w))).alias("e"), *extra
-    )
+        F.concat("v", F.array(w)).alias("v"), F.concat("h", F.array("i")).alias("h"), F.concat("l", F.array(label)).alias("l"), F.concat("e", F.array(_edge(F.col("key"), w))).alias("e"),
+        F.concat("q", F.array(number)).alias("q"), n.alias("n"),
+    )
+
+
+def _place(w: Column) -> Column:
+    return (F.array_position("v", w) - 1).cast("int")
 
 
 def expand(tuples: DataFrame, edges: DataFrame, max_vertices: int, keep: Column | None = None, rule: bool = True) -> DataFrame:
@@ -58,7 +64,7 @@ def expand(tuples: DataFrame, edges: DataFrame, max_vertices: int, keep: Column
     """
     # Under the rule a new edge must lie above all edges after the position it grows from.
     bar = F.array_max(F.slice("e", F.col("i") + 1, F.size("e")))
-    seen = by_vertex(tuples.withColumn("_n", n_vertices()))
+    seen = by_vertex(tuples)
     seen = seen.withColumn("_bar", bar) if rule else seen
 
     def allowed(x: DataFrame, w: Column) -> DataFrame:
@@ -66,16 +72,16 @@ def expand(tuples: DataFrame, edges: DataFrame, max_vertices: int, keep: Column
             return x
         return x.where((w > F.col("v")[0]) & (F.col("_bar").isNull() | (_edge(F.col("key"), w) > F.col("_bar"))))
 
-    grown = seen.where(F.col("_n") < max_vertices).join(edges.select(F.col("src").alias("key"), F.col("dst").alias("w"), F.col("dst_label").alias("wl")), "key")
-    grown = _appended(allowed(grown.where(~F.array_contains("v", F.col("w"))), F.col("w")), F.col("w"), F.col("wl"), [])
+    grown = seen.where(F.col("n") < max_vertices).join(edges.select(F.col("src").alias("key"), F.col("dst").alias("w"), F.col("dst_label").alias("wl")), "key")
+    grown = _appended(allowed(grown.where(~F.array_contains("v", F.col("w"))), F.col("w")), F.col("w"), F.col("wl"), F.col("n") + 1, F.col("n") + 1)
     # Closing edges: from the smaller end, between vertices of the tuple that are not joined yet.
-    inside = seen.where(F.col("_n") > 2).select("*", F.explode(F.array_distinct("v")).alias("w"))
+    inside = seen.where(F.col("n") > 2).select("*", F.explode(F.array_distinct("v")).alias("w"))
     inside = inside.where((F.col("key") < F.col("w")) & ~F.array_contains("e", F.struct(F.col("key").alias("lo"), F.col("w").alias("hi"))))
     if rule:
         inside = inside.where((F.col("w") >= F.col("v")[0]) & (F.col("w") != F.get("v", F.get("h", F.col("i")))) & (F.col("_bar").isNull() | (_edge(F.col("key"), F.col("w")) > F.col("_bar"))))
     pairs = edges.where(F.col("src") < F.col("dst")).select(F.col("src").alias("key"), F.col("dst").alias("w")).distinct()
-    label = F.get("l", (F.array_position("v", F.col("w")) - 1).cast("int"))
-    closed = _appended(inside.join(pairs, ["key", "w"], "left_semi"), F.col("w"), label, [])
+    at = _place(F.col("w"))
+    closed = _appended(inside.join(pairs, ["key", "w"], "left_semi"), F.col("w"), F.get("l", at), F.get("q", at), F.col("n"))
     out = grown.unionByName(closed)
     return out if keep is None else out.where(keep)
 
@@ -90,7 +96,8 @@ def expand_at(keyed: DataFrame, edges: DataFrame, max_vertices: int) -> DataFram
     fresh = ~F.array_contains("v", F.col("w"))
     x = x.where(F.when(fresh, n_vertices() < max_vertices).otherwise(F.col("key") < F.col("w")))
     x = x.where((F.col("w") >= F.col("v")[0]) & (F.col("w") != F.get("v", F.get("h", F.col("i")))) & (F.col("_bar").isNull() | (_edge(F.col("key"), F.col("w")) > F.col("_bar"))))
-    return _appended(x, F.col("w"), F.col("wl"), [])
+    more = F.when(fresh, F.col("n") + 1)
+    return _appended(x, F.col("w"), F.col("wl"), F.coalesce(more, F.get("q", _place(F.col("w")))), F.coalesce(more, F.col("n")))
 
 
 def shuffle_by_vertex(tuples: DataFrame) -> DataFrame:
@@ -105,16 +112,11 @@ def collect(tuples: DataFrame, keep: Column) -> DataFrame:
 
 def edge_sets(tuples: DataFrame) -> DataFrame:
     """One tuple for each distinct set of edges: the least by its columns."""
-    least = F.min(F.struct("v", "h", "l", "e")).alias("t")
+    least = F.min(F.struct(*COLUMNS)).alias("t")
     return tuples.groupBy(F.array_sort("e").alias("_set")).agg(least).select("t.*")
 
 
 def quick_pattern(labelled: bool) -> Column:
-    """Text of a tuple with its vertices numbered in the order they appear: ``ids|history|labels``."""
-    order = F.transform("v", lambda x: F.array_position(F.array_distinct("v"), x))
-    labels = F.col("l") if labelled else F.transform("l", lambda x: F.lit(0))
-
-    def text(c: Column) -> Column:
-        return F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
-
-    return F.concat_ws("|", text(order), text(F.col("h")), text(labels))
+    """Text of a tuple with its vertices numbered in the order they appear: ``ids|history|labels``, without labels unless ``labelled``."""
+    parts = ["q", "h", "l"] if labelled else ["q", "h"]
+    return F.concat_ws("|", *[F.concat_ws(",", F.col(c).cast("array<string>")) for c in parts])

@@ -18,8 +18,12 @@ from graphloom.operators.mining import quick_pattern
 
 
 def _codes(quicks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, str] = {}
     for s in quicks:
-        yield s.map(code_of_quick)
+        for q in s:
+            if q not in known:
+                known[q] = code_of_quick(q)
+        yield s.map(known)
 
 
 def quick_counts(tuples: DataFrame, labelled: bool) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.graph import Graph
+from graphloom.runtime import Workspace, lookup
 
 
 def scatter(edges: DataFrame, **columns: Column) -> DataFrame:
@@ -13,9 +15,12 @@ def scatter(edges: DataFrame, **columns: Column) -> DataFrame:
     return edges.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def scatter_vertices(edges: DataFrame, vertices: DataFrame, **columns: Column) -> DataFrame:
-    """One update for each edge with the state of its source; edges without a known source give none."""
-    return edges.join(vertices, edges["src"] == vertices["id"]).select(*[c.alias(n) for n, c in columns.items()])
+def scatter_vertices(edges: DataFrame, vertices: DataFrame, hot: list | None = None, **columns: Column) -> DataFrame:
+    """One update for each edge with the state of its source; edges without a known source give none.
+
+    ``hot``: sources with too many edges for one task (runtime.hot_keys), whose edges are not shuffled.
+    """
+    return lookup(edges, vertices.withColumnRenamed("id", "src"), "src", hot or []).select(*[c.alias(n) for n, c in columns.items()])
 
 
 def scatter_updates(updates: DataFrame, **columns: Column) -> DataFrame:
@@ -52,8 +57,6 @@ def dense_numbers(ids: DataFrame) -> DataFrame:
     Rows are range-partitioned and sorted; the numbers of a partition begin after the
     rows of those before, of which only the counts (one per partition) are collected.
     """
-    from graphloom.runtime import Workspace
-
     work = Workspace(ids.sparkSession, "numbers")
     placed = work.cut(ids.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id()))
     counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
@@ -61,8 +64,6 @@ def dense_numbers(ids: DataFrame) -> DataFrame:
     for part, n in counts:
         starts[part] = before
         before += n
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("id")) - 1
     if not starts:
         return placed.select("id", F.lit(0).cast("long").alias("number"))

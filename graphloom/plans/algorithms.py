@@ -14,7 +14,9 @@ from graphloom.runtime import Workspace, hot_keys, lookup
 def oriented(pairs: DataFrame) -> DataFrame:
     """``a, b`` of ``lo, hi`` from the end of smaller degree (then smaller id): no vertex keeps more than about sqrt(2m) edges."""
     deg = pairs.select(F.explode(F.array("lo", "hi")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    both = pairs.join(deg.withColumnsRenamed({"x": "lo", "d": "dl"}), "lo").join(deg.withColumnsRenamed({"x": "hi", "d": "dh"}), "hi")
+    deg = Workspace(pairs.sparkSession, "degrees").cut(deg)
+    hot = hot_keys(deg, "x", deg.agg(F.sum("d")).first()[0] or 0, deg.withColumnRenamed("d", "n"))
+    both = lookup(lookup(pairs, deg.withColumnsRenamed({"x": "lo", "d": "dl"}), "lo", hot), deg.withColumnsRenamed({"x": "hi", "d": "dh"}), "hi", hot)
     first = (F.col("dl") < F.col("dh")) | ((F.col("dl") == F.col("dh")) & (F.col("lo") < F.col("hi")))
     return both.select(F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
@@ -87,8 +89,9 @@ def pagerank(graph: Graph, rounds: int = 4, mode: str = "cumulative") -> DataFra
     state = vertex.init_vertices(ids, rank=F.lit(1.0), sum=F.lit(0.0))
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree"))
     state = work.cut(state.join(degree, "id", "left"))
+    hot = hot_keys(edges, "src", edges.count())
     for _ in range(rounds):
-        updates = vertex.scatter_vertices(edges, state, target=F.col("dst"), r=F.col("w") * F.col("rank") / F.col("degree"))
+        updates = vertex.scatter_vertices(edges, state, hot, target=F.col("dst"), r=F.col("w") * F.col("rank") / F.col("degree"))
         total = F.col("sum") + F.col("got") if mode == "cumulative" else F.col("got")
         step = work.cut(vertex.gather(state, updates, {"got": F.sum("r")}, {"sum": total, "rank": F.lit(0.15) + F.lit(0.85) * total}))
         work.drop(state)
@@ -161,7 +164,8 @@ def motif_levels(graph: Graph, max_vertices: int, max_edges: int | None = None,
         level = mining.expand(level, edges, max_vertices)
         if n > 3 and dedupe == "edge_set":
             level = mining.edge_sets(level)
-        level = work.cut(level)
+        # The last level is not grown from: it is left to its reader.
+        level = work.cut(level) if n < top else level
         out[n] = level
     return out
 

@@ -17,7 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 #: Frequent means at least so many subgraphs in the registered queries.
-SUPPORT = 60
+SUPPORT = 15
 
 
 def _query(sql: str | None) -> Callable[[Query], Query]:

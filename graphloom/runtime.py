@@ -96,3 +96,17 @@ def lookup(left: DataFrame, table: DataFrame, key: str, hot: list, how: str = "i
     at_home = left.where(F.col(key).isin(hot)).join(F.broadcast(few), key, how)
     cold = left.where(F.col(key).isNull() | ~F.col(key).isin(hot)) if how == "left" else left.where(~F.col(key).isin(hot))
     return at_home.unionByName(cold.join(table, key, how))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, spread: str, salts: int = 64) -> DataFrame:
+    """Inner join in which ``left`` may hold hot keys and ``right`` several rows for a key.
+
+    Rows of hot keys are spread over ``salts`` parts by the hash of column ``spread``;
+    the right rows of those keys, and only those, are repeated for each part.
+    """
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    part = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("_salt", part).join(right.withColumn("_salt", F.explode(parts)), [key, "_salt"]).drop("_salt")
