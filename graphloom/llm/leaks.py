@@ -91,7 +91,21 @@ def build(items: Sequence[tuple[object, str]], n: int) -> list[WuManber]:
     return [WuManber(c) for c in classes.values()]
 
 
-def _search(searchers: list[WuManber], id_type: str, item_type: str):
+def _keys(sql: str):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        con = duckdb_session()
+        for batch in batches:
+            con.register("part", pa.Table.from_batches([batch]))
+            yield from con.sql(sql).to_arrow_table().to_batches()
+
+    return run
+
+
+def _search(searchers: list[WuManber], item_type: str):
+    sql = f"SELECT id, {word_key_sql('text')} AS k FROM part WHERE text IS NOT NULL"
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -99,7 +113,7 @@ def _search(searchers: list[WuManber], id_type: str, item_type: str):
         for batch in batches:
             for part in pieces(batch, 1):
                 con.register("part", pa.Table.from_batches([part]))
-                got = con.sql(f"SELECT id, {word_key_sql('text')} AS k FROM part WHERE text IS NOT NULL").to_arrow_table()
+                got = con.sql(sql).to_arrow_table()
                 docs, hits = [], []
                 for doc, key in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
                     words = key.split(" ")
@@ -125,25 +139,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     item_kind = "bigint" if items.schema[item_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
-    con = duckdb_session()
-    import pyarrow as pa
-
-    schema = pa.schema([("id", pa.int64() if item_kind == "bigint" else pa.string()), ("text", pa.string())])
+    wanted = items.select(F.col(item_id).cast(item_kind).alias("id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     blocks: list[list[tuple[object, str]]] = [[]]
     held = 0
-    for row in items.select(F.col(item_id).cast(item_kind).alias("id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull()).toLocalIterator():
-        con.register("item", pa.Table.from_pylist([row.asDict()], schema=schema))
-        key = con.execute(f"SELECT {word_key_sql('text')} FROM item").fetchall()[0][0]
+    for item, key in wanted.mapInArrow(_keys(f"SELECT id, {word_key_sql('text')} AS k FROM part"), f"id {item_kind}, k string").toLocalIterator():
         size = key.count(" ") + 1
         if blocks[-1] and held + size > block_words:
             blocks.append([])
             held = 0
-        blocks[-1].append((row["id"], key))
+        blocks[-1].append((item, key))
         held += size
     source = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text")).where(F.col("text").isNotNull())
     out = None
     for block in blocks:
         searchers = build(block, n)
-        part = source.mapInArrow(_search(searchers, kind, item_kind), f"id {kind}, item {item_kind}") if searchers else spark.createDataFrame([], f"id {kind}, item {item_kind}")
+        part = source.mapInArrow(_search(searchers, item_kind), f"id {kind}, item {item_kind}") if searchers else spark.createDataFrame([], f"id {kind}, item {item_kind}")
         out = part if out is None else out.unionByName(part)
     return out

@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from graphloom.llm.encode import encode_corpus
 from graphloom.llm.groups import link_groups
-from graphloom.llm.leaks import leaked_items
+from graphloom.llm.leaks import leaked_items, word_key_sql
 from graphloom.llm.merkle import collapse_copies, composed, edge_of_record
 from graphloom.llm.terms import term_counts
-from graphloom.llm.visual import consistent_form, look_alike_pairs
+from graphloom.llm.visual import consistent_form, form_sql, look_alike_pairs
 
 EDGE = T.StructType([T.StructField("src", T.StringType()), T.StructField("target", T.StringType())])
 
@@ -105,4 +105,16 @@ reach(v, g) USING KEY (v) AS (
   SELECT a, min(b) FROM (SELECT a, least(a, b) AS b FROM links) GROUP BY a
   UNION SELECT l.b, min(r.g) FROM reach r JOIN links l ON l.a = r.v JOIN recurring.reach o ON o.v = l.b WHERE r.g < o.g GROUP BY l.b)
 SELECT g AS group_id, v AS vertex_id FROM reach""",
+    "p7_found": f"""
+WITH d AS (SELECT doc_id, string_split({word_key_sql('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, string_split({word_key_sql('text')}, ' ') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS g FROM i WHERE len(w) < 10 AND w[1] <> '')
+SELECT doc_id, item_id FROM dg JOIN ig USING (g)
+UNION SELECT doc_id, item_id FROM d, short WHERE contains(' ' || array_to_string(w, ' ') || ' ', g)""",
+    "p8_found": f"""
+WITH f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.form <> ''""",
+    "p8_forms": f"SELECT doc_id, {form_sql('text')} AS form FROM documents",
 }

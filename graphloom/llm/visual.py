@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import HOT_FLOOR, Workspace, hot_keys, lookup
+from graphloom.runtime import HOT_FLOOR, Workspace, hot_keys, lookup, salted_join
 
 #: Letters of other alphabets that are drawn like a Latin letter, and that letter.
 LOOK_ALIKES = {
@@ -86,7 +86,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def form_sql(text: str, names: str = "") -> str:
+def form_sql(text: str) -> str:
     """DuckDB SQL for the consistent form of ``text``."""
     one, many = mappings()
     visible = f"regexp_replace({text}, '{undrawn()}', '', 'g')"
@@ -120,15 +120,17 @@ def pieces(batch, column: int, most: int = 4_000_000) -> Iterator:
         yield batch.slice(start)
 
 
-def _forms(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def _forms(sql: str):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    con = duckdb_session()
-    sql = f"SELECT id, text, {form_sql('text')} AS form FROM part"
-    for batch in batches:
-        for part in pieces(batch, 1):
-            con.register("part", pa.Table.from_batches([part]))
-            yield from con.sql(sql).to_arrow_table().to_batches()
+        con = duckdb_session()
+        for batch in batches:
+            for part in pieces(batch, 1):
+                con.register("part", pa.Table.from_batches([part]))
+                yield from con.sql(sql).to_arrow_table().to_batches()
+
+    return run
 
 
 def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -138,8 +140,8 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ignored; repeated rows are worked out each for itself; texts of any length are
     taken whole.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_forms, f"id {kind}, text string, form string")
+    kind, sql = df.schema[id_col].dataType.simpleString(), f"SELECT id, text, {form_sql('text')} AS form FROM part"
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_forms(sql), f"id {kind}, text string, form string")
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, hot_floor: int = HOT_FLOOR) -> DataFrame:
@@ -154,15 +156,14 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, hot_floor: int =
     work = Workspace(df.sparkSession, "looks")
     forms = consistent_form(df, id_col, text_col).where((F.col("form") != "") & F.col("id").isNotNull())
     keyed = work.cut(forms.select("id", F.unhex(F.md5(F.col("form").cast("binary"))).alias("f"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("t")))
-    texts = keyed.groupBy("f", "t").agg(F.count("*").alias("n"))
-    several = texts.groupBy("f").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("texts") > 1)
-    several = work.cut(several)
+    texts = work.cut(keyed.groupBy("f", "t").agg(F.count("*").alias("n")))
+    several = work.cut(texts.groupBy("f").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("texts") > 1))
     total = several.agg(F.sum("n")).first()[0] or 0
-    hot = hot_keys(keyed, "f", total, several.select("f", "n"), hot_floor)
-    members = work.cut(lookup(keyed, several.select("f"), "f", hot))
-    # Pairs of distinct texts first, then the documents that hold them.
+    members = work.cut(lookup(keyed, several.select("f"), "f", hot_keys(keyed, "f", total, several.select("f", "n"), hot_floor)))
+    # Pairs of distinct texts first, then the documents that hold them; a text with very many copies is salted.
     distinct = members.select("f", "t").distinct()
     two = distinct.withColumnRenamed("t", "t_a").join(distinct.withColumnRenamed("t", "t_b"), "f").where(F.col("t_a") < F.col("t_b")).select("t_a", "t_b")
-    first = two.join(members.select(F.col("t").alias("t_a"), F.col("id").alias("x")), "t_a").select("t_b", "x")
-    both = first.join(members.select(F.col("t").alias("t_b"), F.col("id").alias("y")), "t_b")
+    hot = hot_keys(members, "t", total, texts.groupBy("t").agg(F.max("n").alias("n")), hot_floor)
+    first = salted_join(members.select(F.col("t").alias("t_a"), F.col("id").alias("x")), two, "t_a", hot, "x").select("t_b", "x")
+    both = salted_join(members.select(F.col("t").alias("t_b"), F.col("id").alias("y")), first, "t_b", hot, "y")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
