@@ -39,7 +39,7 @@ def read_adjacency(spark: SparkSession, path: str, edge_labels: bool = False, wr
     With ``edge_labels`` each neighbour is followed by the label of its edge, which comes
     out as column ``edge_label``. A missing line end at the end of the file loses nothing.
     """
-    f = F.transform(F.split(F.trim(F.regexp_replace("value", r"[\t \r]+", " ")), " "), lambda x: x.cast("long"))
+    f = F.transform(F.split(F.trim(F.regexp_replace("value", r"[\t \r]+", " ")), " "), lambda x: x.try_cast("long"))
     rows = spark.read.text(path).where(F.trim("value") != "").select(f.alias("f")).where(F.size("f") >= 2)
     rows = rows.select(F.col("f")[0].alias("id"), F.col("f")[1].alias("label"), F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0))).alias("rest"))
     if edge_labels:
