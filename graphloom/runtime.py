@@ -20,6 +20,7 @@ HOT_FLOOR = 200_000
 HOT_PARTS = 2048
 
 _local_root: str | None = None
+_workspaces: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +50,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_root(spark)}/graphloom-{label}-{uuid.uuid4().hex[:12]}"
+        _workspaces.append(self.root)
         self._paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
 
@@ -64,9 +66,18 @@ class Workspace:
         for df in dfs:
             kept = self._paths.pop(id(df), None)
             if kept:
-                jvm = self.spark.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(kept[1])
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(self.spark, kept[1])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; results that aren't written yet can't be read any more."""
+    while _workspaces:
+        _delete(spark, _workspaces.pop())
 
 
 def hot_keys(df: DataFrame, key: str, total: int, counts: DataFrame | None = None, floor: int = HOT_FLOOR) -> list:
