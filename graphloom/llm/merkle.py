@@ -38,41 +38,64 @@ def normal_leaf(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
-def _hash(*parts: Column) -> Column:
-    return F.unhex(F.md5(F.concat(*parts)))
+def _hash(tag: str, body: Column) -> Column:
+    """Hex digest of a node; the tag keeps nodes of different kinds apart."""
+    return F.md5(F.concat(F.lit(tag), body).cast("binary"))
+
+
+def normalised(column: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
+    """The value with every leaf as normal text (binary stays), and its type."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, *normalised(column.getField(f.name), f.dataType)) for f in kind.fields]
+        new = T.StructType([T.StructField(n, k) for n, _, k in parts])
+        value = F.struct(*[c.alias(n) for n, c, _ in parts]) if parts else column
+        return F.when(column.isNotNull(), value), new
+    if isinstance(kind, T.ArrayType):
+        inner = normalised(F.lit(None).cast(kind.elementType), kind.elementType)[1]
+        return F.transform(column, lambda x: normalised(x, kind.elementType)[0]), T.ArrayType(inner)
+    if isinstance(kind, T.MapType):
+        # Keys may become equal, which a map doesn't allow: entries in sorted order.
+        k, v = (normalised(F.lit(None).cast(t), t)[1] for t in (kind.keyType, kind.valueType))
+        entry = T.StructType([T.StructField("key", k), T.StructField("value", v)])
+        pairs = F.transform(F.map_entries(column), lambda e: F.struct(normalised(e["key"], kind.keyType)[0].alias("key"), normalised(e["value"], kind.valueType)[0].alias("value")))
+        return F.array_sort(pairs), T.ArrayType(entry)
+    if isinstance(kind, T.BinaryType):
+        return column, kind
+    return normal_leaf(column.cast("string")), T.StringType()
 
 
 def digest(column: Column, kind: T.DataType, ordered_arrays: bool = False) -> Column:
-    """The 16-byte Merkle digest of a value of any type. Null has a digest of its own at every level.
+    """The Merkle digest (32 hex digits) of a normalised value. Null has a digest of its own at every level.
 
     Struct fields, map entries and, unless ``ordered_arrays``, array elements count
-    without their order; how often an element occurs counts. Leaves are compared as
-    normalised text.
+    without their order; how often an element occurs counts.
     """
     if isinstance(kind, T.StructType):
-        kids = [_hash(F.lit("f:").cast("binary"), F.lit(f.name.lower()).cast("binary"), F.lit("=").cast("binary"), digest(column.getField(f.name), f.dataType, ordered_arrays)) for f in kind.fields]
-        body, tag = F.concat(*[F.array_sort(F.array(*kids))[i] for i in range(len(kids))]) if kids else F.lit("").cast("binary"), "s:"
+        kids = [_hash(f"field {f.name.lower()}=", digest(column.getField(f.name), f.dataType, ordered_arrays)) for f in kind.fields]
+        body, tag = F.concat_ws("", F.sort_array(F.array(*kids))) if kids else F.lit(""), "struct:"
     elif isinstance(kind, T.ArrayType):
         kids = F.transform(column, lambda x: digest(x, kind.elementType, ordered_arrays))
-        hexes = F.transform(kids if ordered_arrays else F.array_sort(kids), F.hex)
-        body, tag = F.concat_ws("", hexes).cast("binary"), "o:" if ordered_arrays else "a:"
-    elif isinstance(kind, T.MapType):
-        pairs = F.transform(F.map_entries(column), lambda e: _hash(F.lit("e:").cast("binary"), digest(e["key"], kind.keyType, ordered_arrays), digest(e["value"], kind.valueType, ordered_arrays)))
-        body, tag = F.concat_ws("", F.transform(F.array_sort(pairs), F.hex)).cast("binary"), "m:"
+        body, tag = F.concat_ws("", kids if ordered_arrays else F.sort_array(kids)), "list:" if ordered_arrays else "bag:"
     elif isinstance(kind, T.BinaryType):
-        body, tag = column, "b:"
+        body, tag = F.hex(column), "bytes:"
     else:
-        body, tag = normal_leaf(column.cast("string")).cast("binary"), "l:"
-    return F.when(column.isNull(), F.unhex(F.md5(F.lit("null").cast("binary")))).otherwise(_hash(F.lit(tag).cast("binary"), body))
+        body, tag = column, "text:"
+    return F.when(column.isNull(), F.md5(F.lit("null").cast("binary"))).otherwise(_hash(tag, body))
 
 
-def edge_of_record(body: Column) -> Column:
-    """struct(src, target) of a free-form record with both keys, else null.
+def edges_of_records(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
+    """``rec_id, edge``: struct(src, target) of each free-form record with both keys, else null.
 
     The record is taken apart at its keys, which stand as words of their own, the
-    first of them as the first word. The scan is linear in the length of the text.
+    first of them as the first word. The scan is linear in the length of the text; the words are
+    a projection of their own, or they would be worked out anew for each use.
     """
-    words = F.trim(F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]+", " "))
+    texts = df.select(F.col(id_col).alias("rec_id"), composed(F.col(body_col)).alias("_b"))
+    lists = texts.select("rec_id", F.trim(F.regexp_replace(F.lower("_b"), r"[^\p{L}\p{N}]+", " ")).alias("_w"))
+    return lists.select("rec_id", _edge_of_words(F.col("_w")).alias("edge"))
+
+
+def _edge_of_words(words: Column) -> Column:
 
     def parts(first: str, second: str) -> tuple[Column, Column]:
         rest = F.substring(words, F.lit(len(first) + 2), F.length(words))
@@ -97,42 +120,41 @@ def collapse_copies(df: DataFrame, id_col: str, record: Column, kind: T.DataType
     record by broadcast, so a group with a third of all rows makes no long task.
     """
     work = Workspace(df.sparkSession, "merkle")
+    value, plain = normalised(F.col("_r"), kind)
     rows = df.select(F.col(id_col).alias("rec_id"), record.alias("_r")).where(F.col("_r").isNotNull() & F.col("rec_id").isNotNull())
-    # The normalised structure itself, for the confirmation: JSON of the value with normal leaves.
-    rows = work.cut(rows.select("rec_id", digest(F.col("_r"), kind).alias("_d"), canonical(F.col("_r"), kind).alias("_full")))
-    firsts = rows.groupBy("_d").agg(F.min(F.struct("rec_id", "_full")).alias("_first"), F.count("*").alias("n"))
-    firsts = work.cut(firsts)
-    total = firsts.agg(F.sum("n")).first()[0] or 0
-    hot = hot_keys(rows, "_d", total, firsts.select("_d", "n"), hot_floor)
-    # Only members of groups of two and more need their first record.
-    met = lookup(rows, firsts.select("_d", "_first"), "_d", hot)
-    same = met["_full"] == F.col("_first._full")
-    confirmed = met.where(same).select("rec_id", F.col("_first.rec_id").alias("first_id"), "_full")
-    # Records that share a digest but not the structure: grouped by the structure itself.
-    other = met.where(~same).groupBy("_d", "_full").agg(F.min("rec_id").alias("first_id"), F.count("*").alias("copies"))
-    stray = met.where(~same).select("rec_id", "_d", "_full").join(other, ["_d", "_full"]).select("rec_id", "first_id", "copies")
-    sizes = confirmed.groupBy("first_id").agg(F.count("*").alias("copies"))
-    counted = lookup(confirmed.select("rec_id", "first_id"), sizes, "first_id", hot_keys(confirmed, "first_id", total, sizes.withColumnRenamed("copies", "n"), hot_floor))
-    return counted.select("rec_id", "first_id", "copies").unionByName(stray)
+    rows = rows.select("rec_id", value.alias("_n")).select("rec_id", F.unhex(digest(F.col("_n"), plain)).alias("_d"), canonical(F.col("_n"), plain).alias("_full"))
+    rows = work.cut(rows)
+    # Grouped by root digest; that the whole structure is part of the key is the confirmation.
+    found = rows.groupBy("_d", "_full").agg(F.min("rec_id").alias("first_id"), F.count("*").alias("copies"))
+    groups = work.cut(found.withColumn("_alone", F.col("copies") == 1))
+    # Digests of several structures: expected none, but their records are then told apart by the structure.
+    shared = groups.groupBy("_d").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("_d")
+    shared = work.cut(shared)
+    alone = groups.where("_alone").select(F.col("first_id").alias("rec_id"), "first_id", "copies")
+    several = groups.where(~F.col("_alone"))
+    total = several.agg(F.sum("copies")).first()[0] or 0
+    if shared.isEmpty():
+        hot = hot_keys(rows, "_d", total, several.select("_d", F.col("copies").alias("n")), hot_floor)
+        members = lookup(rows.select("rec_id", "_d"), several.select("_d", "first_id", "copies"), "_d", hot)
+    else:
+        members = rows.join(several.drop("_alone"), ["_d", "_full"])
+    return members.select("rec_id", "first_id", "copies").unionByName(alone)
 
 
 def canonical(column: Column, kind: T.DataType) -> Column:
-    """Canonical text of a nested value: normal leaves, unordered nodes in sorted order, lengths before contents."""
+    """Canonical text of a normalised value: unordered nodes in sorted order, lengths before contents."""
 
     def sized(c: Column) -> Column:
         return F.concat(F.length(c).cast("string"), F.lit(":"), c)
 
     if isinstance(kind, T.StructType):
-        kids = F.array_sort(F.array(*[F.concat(F.lit(f.name.lower() + "="), canonical(column.getField(f.name), f.dataType)) for f in kind.fields]))
+        kids = F.sort_array(F.array(*[F.concat(F.lit(f.name.lower() + "="), canonical(column.getField(f.name), f.dataType)) for f in kind.fields]))
         body, tag = F.concat_ws(",", F.transform(kids, sized)), "s"
     elif isinstance(kind, T.ArrayType):
-        kids = F.array_sort(F.transform(column, lambda x: canonical(x, kind.elementType)))
+        kids = F.sort_array(F.transform(column, lambda x: canonical(x, kind.elementType)))
         body, tag = F.concat_ws(",", F.transform(kids, sized)), "a"
-    elif isinstance(kind, T.MapType):
-        kids = F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat(sized(canonical(e["key"], kind.keyType)), canonical(e["value"], kind.valueType))))
-        body, tag = F.concat_ws(",", F.transform(kids, sized)), "m"
     elif isinstance(kind, T.BinaryType):
         body, tag = F.hex(column), "b"
     else:
-        body, tag = normal_leaf(column.cast("string")), "l"
+        body, tag = column, "l"
     return F.when(column.isNull(), F.lit("null")).otherwise(F.concat(F.lit(tag + "("), body, F.lit(")")))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from graphloom.llm.encode import encode_corpus
 from graphloom.llm.groups import link_groups
 from graphloom.llm.leaks import leaked_items, word_key_sql
-from graphloom.llm.merkle import collapse_copies, composed, edge_of_record
+from graphloom.llm.merkle import collapse_copies, edges_of_records
 from graphloom.llm.terms import term_counts
 from graphloom.llm.visual import consistent_form, form_sql, look_alike_pairs
 
@@ -23,8 +23,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _copies(spark: SparkSession, sf: str) -> DataFrame:
-    records = _table(spark, sf, "edge_records").select("rec_id", composed(F.col("body")).alias("body"))
-    return collapse_copies(records, "rec_id", edge_of_record(F.col("body")), EDGE)
+    return collapse_copies(edges_of_records(_table(spark, sf, "edge_records"), "rec_id", "body"), "rec_id", F.col("edge"), EDGE)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:

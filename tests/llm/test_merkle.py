@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import merkle
-from graphloom.llm.merkle import collapse_copies, composed, digest, edge_of_record
+from graphloom.llm.merkle import collapse_copies, digest, edges_of_records, normalised
 from graphloom.llm.queries import EDGE
 
 BODIES = [
@@ -30,21 +30,20 @@ BODIES = [
 @pytest.mark.parametrize("floor", [0, 10**6])
 def test_groups(spark, monkeypatch, floor):
     df = spark.createDataFrame(BODIES, "rec_id long, body string").withColumn("_d", F.lit("clash")).withColumn("copies", F.lit(9))
-    df = df.select("*").withColumn("body", composed(F.col("body")))
-    got = collapse_copies(df, "rec_id", edge_of_record(F.col("body")), EDGE, hot_floor=floor)
+    got = collapse_copies(edges_of_records(df, "rec_id", "body"), "rec_id", F.col("edge"), EDGE, hot_floor=floor)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 1), (5, 5, 1), (6, 6, 1), (11, 1, 4), (13, 13, 2), (14, 13, 2)]
 
 
 def test_equal_digests_are_confirmed(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "_hash", lambda *parts: F.unhex(F.lit("00")))
-    df = spark.createDataFrame(BODIES, "rec_id long, body string").withColumn("body", composed(F.col("body")))
-    got = collapse_copies(df, "rec_id", edge_of_record(F.col("body")), EDGE)
+    monkeypatch.setattr(merkle, "_hash", lambda tag, body: F.lit("00"))
+    df = spark.createDataFrame(BODIES, "rec_id long, body string")
+    got = collapse_copies(edges_of_records(df, "rec_id", "body"), "rec_id", F.col("edge"), EDGE)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 1), (5, 5, 1), (6, 6, 1), (11, 1, 4), (13, 13, 2), (14, 13, 2)]
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "rec_id long, body string")
-    assert collapse_copies(df, "rec_id", edge_of_record(F.col("body")), EDGE).count() == 0
+    assert collapse_copies(edges_of_records(df, "rec_id", "body"), "rec_id", F.col("edge"), EDGE).count() == 0
 
 
 def test_nested_digests(spark):
@@ -55,9 +54,11 @@ def test_nested_digests(spark):
         (4, ([("bar", None)], bytearray(b"1"))), (5, ([("foo", {"k": 1, "l": 2}), ("bar", None)], bytearray(b"2"))), (6, ([("bar", None), ("bar", None)], bytearray(b"1"))), (7, (None, None)), (8, None),
     ]
     df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.LongType()), T.StructField("r", kind)]))
-    d = {r[0]: bytes(r[1]) for r in df.select("id", digest(F.col("r"), kind)).collect()}
+    value, plain = normalised(F.col("r"), kind)
+    df = df.withColumn("n", value)
+    d = {r[0]: r[1] for r in df.select("id", digest(F.col("n"), plain)).collect()}
     assert d[1] == d[2] and len(set(d.values())) == 7
-    ordered = {r[0]: bytes(r[1]) for r in df.select("id", digest(F.col("r"), kind, ordered_arrays=True)).collect()}
+    ordered = {r[0]: r[1] for r in df.select("id", digest(F.col("n"), plain, ordered_arrays=True)).collect()}
     assert ordered[1] != ordered[2]
     got = collapse_copies(df, "id", F.col("r"), kind)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 1, 2), *[(i, i, 1) for i in range(3, 8)]]
