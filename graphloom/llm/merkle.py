@@ -121,9 +121,10 @@ def collapse_copies(df: DataFrame, id_col: str, record: Column, kind: T.DataType
     """
     work = Workspace(df.sparkSession, "merkle")
     value, plain = normalised(F.col("_r"), kind)
-    rows = df.select(F.col(id_col).alias("rec_id"), record.alias("_r")).where(F.col("_r").isNotNull() & F.col("rec_id").isNotNull())
-    rows = rows.select("rec_id", value.alias("_n")).select("rec_id", F.unhex(digest(F.col("_n"), plain)).alias("_d"), canonical(F.col("_n"), plain).alias("_full"))
-    rows = work.cut(rows)
+    rows = df.select(F.col(id_col).alias("rec_id"), record.alias("_r")).where(F.col("rec_id").isNotNull()).select("rec_id", value.alias("_n"))
+    rows = rows.select("rec_id", F.when(F.col("_n").isNotNull(), F.unhex(digest(F.col("_n"), plain))).alias("_d"), canonical(F.col("_n"), plain).alias("_full"))
+    # Null records go only after the cut: as a filter before it, the whole parsing would be pushed down and done twice.
+    rows = work.cut(rows).where(F.col("_d").isNotNull())
     # Grouped by root digest; that the whole structure is part of the key is the confirmation.
     found = rows.groupBy("_d", "_full").agg(F.min("rec_id").alias("first_id"), F.count("*").alias("copies"))
     groups = work.cut(found.withColumn("_alone", F.col("copies") == 1))
