@@ -22,11 +22,13 @@ def record_counts(df: DataFrame, terms: Column) -> DataFrame:
     record costs n log n and no shuffle. The steps are projections of their own, for
     an expression inside a lambda is worked out anew for every element.
     """
-    sorted_ = df.select(F.array_sort(F.filter(terms, lambda x: x.isNotNull())).alias("_s")).where(F.size("_s") > 0)
-    last = F.size("_s") - 1
-    runs = sorted_.select("_s", F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1))).alias("_at"))
+    sorted_ = df.select(F.array_sort(F.filter(terms, lambda x: x.isNotNull())).alias("_s"))
+    last = F.greatest(F.size("_s") - 1, F.lit(0))
+    begins = lambda i: F.get("_s", i).isNotNull() & ((i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
+    runs = sorted_.select("_s", F.filter(F.sequence(F.lit(0), last), begins).alias("_at"))
     ends = runs.select("_s", "_at", F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_s"))).alias("_end"))
-    pairs = F.zip_with("_at", "_end", lambda a, b: F.struct(F.get("_s", a).alias("term"), (b - a).cast("long").alias("occ")))
+    # A record without terms has no beginning; its one end is cut off with it.
+    pairs = F.zip_with("_at", F.slice("_end", F.lit(1), F.size("_at")), lambda a, b: F.struct(F.get("_s", a).alias("term"), (b - a).cast("long").alias("occ")))
     return ends.select(F.explode(pairs).alias("_t")).select("_t.term", "_t.occ")
 
 
