@@ -49,15 +49,15 @@ def link_groups(pairs: DataFrame, src: str = "src", target: str = "target", hot_
     edges = work.cut(ends.distinct())
     maps: list[DataFrame] = []
     while (n_edges := edges.count()) > 0:
-        outgoing = edges.select(F.col("lo").alias("c"), "lo", "hi").unionByName(edges.select(F.col("hi").alias("c"), "lo", "hi"))
-        best = outgoing.groupBy("c").agg(F.min(F.struct("lo", "hi")).alias("e"), F.count("*").alias("n"))
-        hooked = work.cut(best.select("c", F.when(F.col("e.lo") == F.col("c"), F.col("e.hi")).otherwise(F.col("e.lo")).alias("p"), "n"))
+        # The smallest edge (smaller end first) of a component is the one to its least neighbour, whichever end that is.
+        outgoing = edges.select(F.col("lo").alias("c"), F.col("hi").alias("p")).unionByName(edges.select(F.col("hi").alias("c"), F.col("lo").alias("p")))
+        hooked = work.cut(outgoing.groupBy("c").agg(F.min("p").alias("p"), F.count("*").alias("n")))
         n = hooked.count()
-        # Both ends of a tree's least edge hook to each other: the smaller one is the root.
+        # Both ends of a tree's least edge hook to each other: the smaller one is the root. All others go up two steps at once.
         table = hooked.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        mutual = (F.col("pp") == F.col("c")) & (F.col("c") < F.col("p"))
+        mutual = F.col("pp") == F.col("c")
         rooted = lookup(hooked.select("c", "p"), table, "p", hot_keys(hooked, "p", n, None, hot_floor))
-        parents = work.cut(rooted.select("c", F.when(mutual, F.col("c")).otherwise(F.col("p")).alias("p")))
+        parents = work.cut(rooted.select("c", F.when(mutual, F.least("c", "p")).otherwise(F.col("pp")).alias("p")))
         roots = _collapse(work, parents, n, hot_floor)
         maps.append(roots)
         hot = hot_keys(hooked, "c", 2 * n_edges, hooked.select("c", "n"), hot_floor)
