@@ -27,7 +27,9 @@ def undirected_triangles(pairs: DataFrame) -> DataFrame:
     Edges point to the end of larger degree, so the two-edge paths that are built number at
     most about m sqrt(2m), whatever the hubs; a path is a triangle if its ends are linked.
     """
-    out = Workspace(pairs.sparkSession, "triangles").cut(oriented(pairs))
+    work = Workspace(pairs.sparkSession, "triangles")
+    pairs = work.cut(pairs.select("lo", "hi"))
+    out = work.cut(oriented(pairs))
     path = out.join(out.withColumnRenamed("b", "c"), "a").where(F.col("b") < F.col("c"))
     met = path.join(pairs.withColumnsRenamed({"lo": "b", "hi": "c"}), ["b", "c"], "left_semi")
     return met.select(F.array_sort(F.array("a", "b", "c")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from graphloom.runtime import clear_workspaces  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,4 +23,5 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_workspaces(s)
     s.stop()
