@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 
 from graphloom.runtime import HOT_FLOOR, Workspace, hot_keys, lookup
 
-KEYS = ("src", "target")
-
 
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
@@ -44,7 +42,7 @@ def _hash(tag: str, body: Column) -> Column:
 
 
 def normalised(column: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
-    """The value with every leaf as normal text (binary stays), and its type."""
+    """The value with every text leaf in normal form and every other leaf as text (binary stays), and its type."""
     if isinstance(kind, T.StructType):
         parts = [(f.name, *normalised(column.getField(f.name), f.dataType)) for f in kind.fields]
         new = T.StructType([T.StructField(n, k) for n, _, k in parts])
@@ -61,7 +59,9 @@ def normalised(column: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
         return F.array_sort(pairs), T.ArrayType(entry)
     if isinstance(kind, T.BinaryType):
         return column, kind
-    return normal_leaf(column.cast("string")), T.StringType()
+    # Only text is written in many ways; the sign and the point of a number count.
+    text = column.cast("string")
+    return (normal_leaf(text) if isinstance(kind, T.StringType) else text), T.StringType()
 
 
 def digest(column: Column, kind: T.DataType, ordered_arrays: bool = False) -> Column:

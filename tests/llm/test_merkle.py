@@ -62,3 +62,10 @@ def test_nested_digests(spark):
     assert ordered[1] != ordered[2]
     got = collapse_copies(df, "id", F.col("r"), kind)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (2, 1, 2), *[(i, i, 1) for i in range(3, 8)]]
+
+
+def test_numbers_keep_sign_and_point(spark):
+    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("x", T.DoubleType())])
+    rows = [(1, (5, 1.5)), (2, (-5, 1.5)), (3, (5, 15.0)), (4, (5, 1.5))]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.LongType()), T.StructField("r", kind)]))
+    assert sorted(map(tuple, collapse_copies(df, "id", F.col("r"), kind).collect())) == [(1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 1, 2)]
