@@ -1,8 +1,8 @@
 """Per-key counts and exact quantiles that no hot key can slow down.
 
-Method: distributed exact selection. Each value becomes an offset from the
-smallest value, and each round counts values by key and by the next digit of
-that offset. Such histograms merge by addition, so every map task sends at most
+Method: distributed exact selection. Each round counts values by key and by the
+next binary digits of the value, beginning at the highest bit in which values of
+the table differ. Such histograms merge by addition, so every map task sends at most
 one count per key and bin, however many rows a key has. The bin that holds the
 wanted rank is kept and refined by the next digit until the rank resolves: a bin
 with one distinct value, or a rank at a bin's lower or upper end, is resolved at
@@ -71,13 +71,10 @@ def per_key_quantiles(
     low, high, total = rows.agg(F.min("_v"), F.max("_v"), F.count("*")).first()
     low, high = (low, high) if low is not None else (0, 0)
     width = (high - low).bit_length()
-    if width > 63:
-        raise ValueError("the values span more than 63 bits")
-    offset = F.col("_v") - F.lit(low)
     counts = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
     shift = max(0, width - bits)
-    hist = work.cut(rows.groupBy("_k", F.shiftright(offset, shift).alias("_bin")).agg(*counts))
+    hist = work.cut(rows.groupBy("_k", F.shiftright("_v", shift).alias("_bin")).agg(*counts))
     totals = hist.groupBy("_k").agg(F.sum("_c").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("_c"))), F.lit(0)).alias("n_values"))
     picked = work.cut(_pick(hist.where(F.col("_bin").isNotNull()), ["_k"], None, probs).withColumnRenamed("_bin", "_prefix"))
     done = []
@@ -91,7 +88,7 @@ def per_key_quantiles(
         bins = open_.groupBy("_k", "_prefix").agg(F.max("_c").alias("_c"))
         limit = max(HOT_FLOOR, total // HOT_PARTS)
         large = bins.where(F.col("_c") > limit).select("_k", "_prefix")
-        here = rows.where(F.col("_v").isNotNull()).withColumn("_prefix", F.shiftright(offset, shift))
+        here = rows.where(F.col("_v").isNotNull()).withColumn("_prefix", F.shiftright("_v", shift))
         if large.isEmpty():
             kept = here.join(bins.select("_k", "_prefix"), ["_k", "_prefix"], "left_semi")
         else:
@@ -100,7 +97,7 @@ def per_key_quantiles(
             )
         rows = work.cut(kept.select("_k", "_v", "_prefix")) if shift > bits else kept
         shift_next = max(0, shift - bits)
-        finer = rows.groupBy("_k", "_prefix", F.shiftright(offset, shift_next).alias("_bin")).agg(*counts)
+        finer = rows.groupBy("_k", "_prefix", F.shiftright("_v", shift_next).alias("_bin")).agg(*counts)
         wanted = open_.select("_k", "_prefix", "_prob", "_rank")
         picked = work.cut(_pick(finer, ["_k", "_prefix"], wanted, probs).drop("_prefix").withColumnRenamed("_bin", "_prefix"))
         rows, shift = rows.select("_k", "_v"), shift_next

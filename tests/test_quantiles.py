@@ -25,7 +25,7 @@ def got(df, key="k"):
     return {r[key]: tuple(r)[1:] for r in df.collect()}
 
 
-@pytest.mark.parametrize("spread", [1, 3, 300, 10**6, 2**50])
+@pytest.mark.parametrize("spread", [1, 3, 300, 10**6, 2**50, 2**63 - 1])
 @pytest.mark.parametrize("large_bins", [False, True])
 def test_against_brute_force(spark, monkeypatch, spread, large_bins):
     if large_bins:  # every open bin counts as hot
