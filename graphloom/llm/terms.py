@@ -22,7 +22,7 @@ def record_counts(df: DataFrame, terms: Column) -> DataFrame:
     record costs n log n and no shuffle. The steps are projections of their own, for
     an expression inside a lambda is worked out anew for every element.
     """
-    sorted_ = df.select(F.array_sort(F.filter(terms, lambda x: x.isNotNull())).alias("_s"))
+    sorted_ = df.select(F.sort_array(F.filter(terms, lambda x: x.isNotNull())).alias("_s"))
     last = F.greatest(F.size("_s") - 1, F.lit(0))
     begins = lambda i: F.get("_s", i).isNotNull() & ((i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
     runs = sorted_.select("_s", F.filter(F.sequence(F.lit(0), last), begins).alias("_at"))
