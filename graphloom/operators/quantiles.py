@@ -51,7 +51,7 @@ def _pick(hist: DataFrame, within: list[str], wanted: DataFrame | None, probs: S
 
 
 def per_key_quantiles(
-    df: DataFrame, key: str, value: str, probs: Sequence[float] = (0.25, 0.5, 0.75), hot_share: float = 0.02, bits: int = 8
+    df: DataFrame, key: str, value: str, probs: Sequence[float] = (0.25, 0.5, 0.75), hot_share: float = 0.02, bits: int = 10
 ) -> DataFrame:
     """One row for each non-null ``key``: ``n_rows``, ``n_values``, ``hot`` and ``q0`` .. one per probability.
 
@@ -66,11 +66,13 @@ def per_key_quantiles(
     """
     if not probs or any(not 0 <= p <= 1 for p in probs):
         raise ValueError("probs must lie between 0 and 1")
-    spark, work = df.sparkSession, Workspace(df.sparkSession, "quantiles")
+    work = Workspace(df.sparkSession, "quantiles")
     rows = df.select(F.col(key).alias("_k"), _as_long(df, value).alias("_v")).where(F.col("_k").isNotNull())
     low, high, total = rows.agg(F.min("_v"), F.max("_v"), F.count("*")).first()
     low, high = (low, high) if low is not None else (0, 0)
     width = (high - low).bit_length()
+    # As few rounds as bins of at most 2 ** bits allow, with digits of like length.
+    bits = -(-width // -(-width // bits)) if width else bits
     counts = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
     shift = max(0, width - bits)
