@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, undirected
 from graphloom.operators import mining, patterns, relational, vertex
 from graphloom.plans import algorithms
+from graphloom.plans.part_graph import part_pairs
 from graphloom.sources import layout, sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,16 +369,48 @@ def fsm_wedges_parity(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.frequent_subgraphs(_mined(spark, sf), 2, SUPPORT, mode="parity", max_vertices=3)[2][0]
 
 
-@_query(None)
-def fsm_k3(spark: SparkSession, sf: str) -> DataFrame:
-    """Frequent subgraphs of up to three edges and three vertices, exact."""
+def _levels(counts: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     out = None
-    for counts, _ in algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT).values():
-        out = counts if out is None else out.unionByName(counts)
+    for level, _ in counts.values():
+        out = level if out is None else out.unionByName(level)
     return out
 
 
+_K3 = (
+    _PAIR
+    + f""", g AS (SELECT sl.x, sl.y, lx, ly, l0 IS NOT NULL AS ok FROM sl LEFT JOIN f1 ON l0 = least(lx, ly) AND l1 = greatest(lx, ly)),
+w AS (SELECT f.x AS m, f.y AS a, h.y AS b, f.lx AS c, least(f.ly, h.ly) AS la, greatest(f.ly, h.ly) AS lb FROM g f JOIN g h ON f.x = h.x AND f.y < h.y WHERE f.ok OR h.ok),
+t AS (SELECT *, CASE WHEN c <= la THEN c || ' ' || la || ' ' || lb || '|0-1 0-2' WHEN c <= lb THEN la || ' ' || c || ' ' || lb || '|0-1 1-2' ELSE la || ' ' || lb || ' ' || c || '|0-2 1-2' END AS pattern FROM w),
+f2 AS (SELECT pattern, count(*) AS support FROM t GROUP BY 1 HAVING count(*) >= {SUPPORT}), k2 AS (SELECT m, a, b FROM t WHERE pattern IN (SELECT pattern FROM f2)), {_C3},
+k3 AS (SELECT DISTINCT c3.a, c3.b, c3.c FROM c3 JOIN k2 ON (m = c3.a AND k2.a = c3.b AND k2.b = c3.c) OR (m = c3.b AND k2.a = c3.a AND k2.b = c3.c) OR (m = c3.c AND k2.a = c3.a AND k2.b = c3.b)),
+n3 AS (SELECT list_sort([coalesce(x.label, 0), coalesce(y.label, 0), coalesce(z.label, 0)]) AS s FROM k3 LEFT JOIN l x ON x.id = a LEFT JOIN l y ON y.id = b LEFT JOIN l z ON z.id = c),
+f3 AS (SELECT array_to_string(s, ' ') || '|0-1 0-2 1-2' AS pattern, count(*) AS support FROM n3 GROUP BY 1 HAVING count(*) >= {SUPPORT})
+SELECT l0 || ' ' || l1 || '|0-1' AS pattern, 2 AS n_vertices, 1 AS n_edges, support FROM f1
+UNION ALL SELECT pattern, 3, 2, support FROM f2 UNION ALL SELECT pattern, 3, 3, support FROM f3"""
+)
+
+
+@_query(_K3)
+def fsm_k3(spark: SparkSession, sf: str) -> DataFrame:
+    """Frequent subgraphs of up to three edges and three vertices, exact."""
+    return _levels(algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT))
+
+
 @_query(None)
 def fsm_k3_unfiltered(spark: SparkSession, sf: str) -> DataFrame:
     """The variant with k(k-1)/2 levels of which the last isn't filtered, as tuples grow."""
-    return algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT, mode="parity", filter_last=False)[3][0]
+    return _levels(algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT, mode="parity", levels=3, filter_last=False))
+
+
+_PARTS = "b AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT DISTINCT x.p AS src, y.p AS dst FROM b x JOIN b y ON x.o = y.o AND x.p <> y.p), p AS (SELECT src AS lo, dst AS hi FROM s WHERE src < dst)"
+
+
+@_query(f"WITH {_PARTS} SELECT src, count(*) AS degree FROM s GROUP BY src")
+def copart_degree(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that stand in one order with a part, over the whole lineitem table."""
+    return part_pairs(spark, sf).groupBy("src").agg(F.count("*").alias("degree"))
+
+
+@_query(f"WITH {_PARTS}, {_C3} SELECT a, count(*) AS n_triangles FROM c3 GROUP BY a")
+def copart_triangle_count(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.undirected_triangles(undirected(part_pairs(spark, sf))).groupBy("a").agg(F.count("*").alias("n_triangles"))
