@@ -113,7 +113,7 @@ def collect(tuples: DataFrame, keep: Column) -> DataFrame:
 def edge_sets(tuples: DataFrame) -> DataFrame:
     """One tuple for each distinct set of edges: the least by its columns."""
     least = F.min(F.struct(*COLUMNS)).alias("t")
-    return tuples.groupBy(F.array_sort("e").alias("_set")).agg(least).select("t.*")
+    return tuples.groupBy(F.sort_array("e").alias("_set")).agg(least).select("t.*")
 
 
 def quick_pattern(labelled: bool) -> Column:

@@ -32,7 +32,7 @@ def undirected_triangles(pairs: DataFrame) -> DataFrame:
     out = work.cut(oriented(pairs))
     path = out.join(out.withColumnRenamed("b", "c"), "a").where(F.col("b") < F.col("c"))
     met = path.join(pairs.withColumnsRenamed({"lo": "b", "hi": "c"}), ["b", "c"], "left_semi")
-    return met.select(F.array_sort(F.array("a", "b", "c")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+    return met.select(F.sort_array(F.array("a", "b", "c")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -204,7 +204,9 @@ def frequent_subgraphs(graph: Graph, k: int, support: int, mode: str = "exact",
         if n == n_levels and not filter_last:
             out[n] = (counts, level)
         else:
-            out[n] = (counts.where(F.col("support") >= support), work.cut(patterns.keep_frequent(level, quicks, support)))
+            kept = patterns.keep_frequent(level, quicks, support)
+            # The last level is not grown from: it is left to its reader.
+            out[n] = (counts.where(F.col("support") >= support), work.cut(kept) if n < n_levels else kept)
     return out
 
 
@@ -218,7 +220,7 @@ def general_cliques(graph: Graph, k: int) -> DataFrame:
     """``members`` of all cliques of 3 .. k vertices, found by growing subgraphs and collecting the complete ones."""
     out = None
     for level in motif_levels(graph, k, k * (k - 1) // 2).values():
-        part = mining.collect(level, is_clique()).select(F.array_sort(F.array_distinct("v")).alias("members"))
+        part = mining.collect(level, is_clique()).select(F.sort_array(F.array_distinct("v")).alias("members"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 

@@ -10,7 +10,7 @@ from graphloom.graph import Graph, undirected
 
 def adjacency_lines(edges: DataFrame) -> DataFrame:
     """``value``: one line ``id 0 n1 n2 ...`` per source, neighbours distinct and ascending."""
-    lists = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("n"))
+    lists = edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("n"))
     return lists.select(F.concat_ws(" ", F.col("src").cast("string"), F.lit("0"), F.transform("n", lambda x: x.cast("string"))).alias("value"))
 
 
