@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import Hot, lookup
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -70,14 +72,18 @@ class Graph:
         """``id, degree``: out-degree of every vertex with an out-edge."""
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
-    def labelled_edges(self) -> DataFrame:
-        """``src, dst, src_label, dst_label`` with the labels of the vertices, 0 where there is none."""
+    def labelled_edges(self, hot: Hot | None = None) -> DataFrame:
+        """``src, dst, src_label, dst_label`` with the labels of the vertices, 0 where there is none, and ``edge_label`` if the edges have one.
+
+        ``hot``: vertices with too many edges for one task (runtime.hot_keys), whose edges aren't shuffled to meet their label.
+        """
         labels = self.vertices.select("id", "label")
 
         def with_label(df: DataFrame, end: str) -> DataFrame:
-            return df.join(labels.withColumnsRenamed({"id": end, "label": f"{end}_label"}), end, "left").withColumn(f"{end}_label", F.coalesce(F.col(f"{end}_label"), F.lit(0)))
+            return lookup(df, labels.withColumnsRenamed({"id": end, "label": f"{end}_label"}), end, hot, "left").withColumn(f"{end}_label", F.coalesce(F.col(f"{end}_label"), F.lit(0)))
 
-        return with_label(with_label(self.edges.select("src", "dst"), "src"), "dst").select("src", "dst", "src_label", "dst_label")
+        more = [c for c in ("edge_label",) if c in self.edges.columns]
+        return with_label(with_label(self.edges.select("src", "dst", *more), "src"), "dst").select("src", "dst", "src_label", "dst_label", *more)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ neighbour of any member and keeps a list seen once for each member.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,18 +16,20 @@ def init(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.array("lo", "hi").alias("members"))
 
 
-def grow(cliques: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All cliques with one member more, each once."""
+def grow(cliques: DataFrame, pairs: DataFrame, keep: Column | None = None) -> DataFrame:
+    """All cliques with one member more, each once. ``keep``: a predicate on the new ``members``."""
     head = F.slice("members", F.lit(1), F.size("members") - 1)
     c = cliques.select(head.alias("head"), F.element_at("members", -1).alias("lo"))
     both = c.join(c.withColumnRenamed("lo", "hi"), "head").where(F.col("lo") < F.col("hi"))
-    return both.join(pairs, ["lo", "hi"], "left_semi").select(F.concat("head", F.array("lo", "hi")).alias("members"))
+    grown = both.join(pairs, ["lo", "hi"], "left_semi").select(F.concat("head", F.array("lo", "hi")).alias("members"))
+    return grown if keep is None else grown.where(keep)
 
 
-def grow_any(cliques: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each list with each larger neighbour of each member, if larger than the last: a bag of candidates."""
+def grow_any(cliques: DataFrame, pairs: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Each list with each larger neighbour of each member, if larger than the last: a bag of candidates. ``keep`` as above."""
     x = cliques.select("members", F.explode("members").alias("lo")).join(pairs, "lo").where(F.col("hi") > F.element_at("members", -1))
-    return x.select(F.concat("members", F.array("hi")).alias("members"))
+    grown = x.select(F.concat("members", F.array("hi")).alias("members"))
+    return grown if keep is None else grown.where(keep)
 
 
 def keep_complete(candidates: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.canonical import code_of_quick
+from graphloom.functions.canonical import automorphisms, code_of_quick, parts_of_code
 from graphloom.operators.mining import quick_pattern
 
 
@@ -27,14 +27,22 @@ def _codes(quicks: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def quick_counts(tuples: DataFrame, labelled: bool) -> DataFrame:
-    """``quick, pattern, n``: distinct quick patterns with their class and number of tuples."""
-    counted = tuples.select(quick_pattern(labelled).alias("quick")).groupBy("quick").agg(F.count("*").alias("n"))
+    """``quick, pattern, n``: distinct quick patterns with their class and number of tuples. Labels of edges count if ``labelled`` and there are any."""
+    counted = tuples.select(quick_pattern(labelled, labelled and "g" in tuples.columns).alias("quick")).groupBy("quick").agg(F.count("*").alias("n"))
     return counted.withColumn("pattern", F.pandas_udf(_codes, T.StringType())(F.col("quick")))
 
 
+def with_patterns(counts: DataFrame) -> DataFrame:
+    """``pattern, n_vertices, n_edges, support`` from ``quick, support`` with one row for each class."""
+    return _described(counts.select(F.pandas_udf(_codes, T.StringType())(F.col("quick")).alias("pattern"), "support"))
+
+
 def sum_patterns(quicks: DataFrame) -> DataFrame:
     """``pattern, n_vertices, n_edges, support`` from ``quick_counts``."""
-    sums = quicks.groupBy("pattern").agg(F.sum("n").alias("support"))
+    return _described(quicks.groupBy("pattern").agg(F.sum("n").alias("support")))
+
+
+def _described(sums: DataFrame) -> DataFrame:
     labels, edges = F.split(F.split("pattern", r"\|")[0], " "), F.split(F.split("pattern", r"\|")[1], " ")
     return sums.select("pattern", F.size(labels).alias("n_vertices"), F.size(edges).alias("n_edges"), "support")
 
@@ -44,6 +52,16 @@ def count_patterns(tuples: DataFrame, labelled: bool = False) -> DataFrame:
     return sum_patterns(quick_counts(tuples, labelled))
 
 
+def _automorphism_counts(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in codes:
+        yield s.map(lambda x: len(automorphisms(*parts_of_code(x)))).astype("int64")
+
+
+def with_automorphisms(counts: DataFrame) -> DataFrame:
+    """``n_automorphisms`` of each ``pattern``."""
+    return counts.withColumn("n_automorphisms", F.pandas_udf(_automorphism_counts, T.LongType())(F.col("pattern")))
+
+
 def keep_frequent(tuples: DataFrame, quicks: DataFrame, support: int, labelled: bool = True) -> DataFrame:
     """The tuples whose class has at least ``support`` tuples.
 
@@ -51,4 +69,4 @@ def keep_frequent(tuples: DataFrame, quicks: DataFrame, support: int, labelled:
     """
     frequent = quicks.groupBy("pattern").agg(F.sum("n").alias("s")).where(F.col("s") >= support)
     chosen = quicks.join(frequent, "pattern", "left_semi").select("quick")
-    return tuples.withColumn("quick", quick_pattern(labelled)).join(chosen, "quick", "left_semi").drop("quick")
+    return tuples.withColumn("quick", quick_pattern(labelled, labelled and "g" in tuples.columns)).join(chosen, "quick", "left_semi").drop("quick")

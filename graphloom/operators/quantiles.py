@@ -18,11 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from graphloom.runtime import HOT_FLOOR, HOT_PARTS, Workspace
+from graphloom.runtime import HOT_ROWS, Workspace, hot_keys, lookup
 
 
 def _as_long(df: DataFrame, name: str) -> Column:
+    """The value as a long of the same order."""
     kind = df.schema[name].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        # The bits of a double, turned so that they sort as signed numbers; adding 0 makes -0.0 equal 0.0, NaN is the greatest.
+        value = F.col(name).cast("double") + F.lit(0.0)
+        bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value, F.lit(0.0))).cast("long")
+        return F.when(value.isNotNull(), _turned(bits))
     if isinstance(kind, T.IntegralType):
         return F.col(name).cast("long")
     if isinstance(kind, T.TimestampType):
@@ -31,7 +37,17 @@ def _as_long(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name).cast("timestamp"))
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("long")
-    raise ValueError(f"{name}: quantiles need an integer, date or timestamp column, not {kind.simpleString()}")
+    raise ValueError(f"{name}: quantiles need a number, date or timestamp column, not {kind.simpleString()}")
+
+
+def _turned(bits: Column) -> Column:
+    """Bits of a double to a long of the same order, and back."""
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(2**63 - 1)))
+
+
+def _as_double(value: Column) -> Column:
+    text = F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), _turned(F.coalesce(value, F.lit(0).cast("long"))))
+    return F.when(value.isNotNull(), text.cast("double"))
 
 
 def _pick(hist: DataFrame, within: list[str], wanted: DataFrame | None, probs: Sequence[float]) -> DataFrame:
@@ -51,13 +67,13 @@ def _pick(hist: DataFrame, within: list[str], wanted: DataFrame | None, probs: S
 
 
 def per_key_quantiles(
-    df: DataFrame, key: str, value: str, probs: Sequence[float] = (0.25, 0.5, 0.75), hot_share: float = 0.02, bits: int = 10
+    df: DataFrame, key: str, value: str, probs: Sequence[float] = (0.25, 0.5, 0.75), hot_share: float = 0.02, bits: int = 10, limit: int = HOT_ROWS
 ) -> DataFrame:
     """One row for each non-null ``key``: ``n_rows``, ``n_values``, ``hot`` and ``q0`` .. one per probability.
 
     ``q_i`` is the smallest value with at least ``probs[i]`` of the key's non-null
-    values at or below it (the least value for 0), as a long: microseconds for
-    timestamps, days for dates. ``hot`` marks keys with more than ``hot_share`` of
+    values at or below it (the least value for 0), as a long (microseconds for
+    timestamps, days for dates) or, for floats, a double, with NaN as the greatest and no negative zero. ``hot`` marks keys with more than ``hot_share`` of
     all rows whose key is not null.
 
     Null keys are left out; null values count in ``n_rows`` only, and a key with
@@ -86,17 +102,10 @@ def per_key_quantiles(
         open_ = picked.where(~ended)
         if shift == 0 or open_.isEmpty():
             break
-        # Rows in a bin that is still open go on. Bins of more rows than a task should read are few: they are met by broadcast.
-        bins = open_.groupBy("_k", "_prefix").agg(F.max("_c").alias("_c"))
-        limit = max(HOT_FLOOR, total // HOT_PARTS)
-        large = bins.where(F.col("_c") > limit).select("_k", "_prefix")
+        # Rows in a bin that is still open go on; those of bins with more rows than a task should read aren't shuffled for it.
+        bins = open_.groupBy("_k", "_prefix").agg(F.max("_c").alias("n"))
         here = rows.where(F.col("_v").isNotNull()).withColumn("_prefix", F.shiftright("_v", shift))
-        if large.isEmpty():
-            kept = here.join(bins.select("_k", "_prefix"), ["_k", "_prefix"], "left_semi")
-        else:
-            kept = here.join(F.broadcast(large), ["_k", "_prefix"], "left_semi").unionByName(
-                here.join(F.broadcast(large), ["_k", "_prefix"], "left_anti").join(bins.where(F.col("_c") <= limit).select("_k", "_prefix"), ["_k", "_prefix"], "left_semi")
-            )
+        kept = lookup(here, bins.select("_k", "_prefix"), ["_k", "_prefix"], hot_keys(None, ["_k", "_prefix"], total, bins, limit))
         rows = work.cut(kept.select("_k", "_v", "_prefix")) if shift > bits else kept
         shift_next = max(0, shift - bits)
         finer = rows.groupBy("_k", "_prefix", F.shiftright("_v", shift_next).alias("_bin")).agg(*counts)
@@ -107,5 +116,7 @@ def per_key_quantiles(
     for d in done[1:]:
         resolved = resolved.unionByName(d)
     wide = resolved.groupBy("_k").agg(*[F.max(F.when(F.col("_prob") == float(p), F.col("_q"))).alias(f"q{i}") for i, p in enumerate(probs)])
+    if isinstance(df.schema[value].dataType, (T.FloatType, T.DoubleType)):
+        wide = wide.select("_k", *[_as_double(F.col(f"q{i}")).alias(f"q{i}") for i in range(len(probs))])
     out = totals.join(wide, "_k", "left").withColumn("hot", F.col("n_rows") > F.lit(hot_share) * F.lit(total))
     return out.select(F.col("_k").alias(key), "n_rows", "n_values", "hot", *[f"q{i}" for i in range(len(probs))])

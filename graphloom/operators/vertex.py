@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.graph import Graph
-from graphloom.runtime import Workspace, lookup
+from graphloom.graph import Graph, undirected
+from graphloom.runtime import HOT_ROWS, Hot, Workspace, hot_keys, lookup
 
 
 def scatter(edges: DataFrame, **columns: Column) -> DataFrame:
@@ -15,12 +15,12 @@ def scatter(edges: DataFrame, **columns: Column) -> DataFrame:
     return edges.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def scatter_vertices(edges: DataFrame, vertices: DataFrame, hot: list | None = None, **columns: Column) -> DataFrame:
+def scatter_vertices(edges: DataFrame, vertices: DataFrame, hot: Hot | None = None, **columns: Column) -> DataFrame:
     """One update for each edge with the state of its source; edges without a known source give none.
 
     ``hot``: sources with too many edges for one task (runtime.hot_keys), whose edges are not shuffled.
     """
-    return lookup(edges, vertices.withColumnRenamed("id", "src"), "src", hot or []).select(*[c.alias(n) for n, c in columns.items()])
+    return lookup(edges, vertices.withColumnRenamed("id", "src"), "src", hot).select(*[c.alias(n) for n, c in columns.items()])
 
 
 def scatter_updates(updates: DataFrame, **columns: Column) -> DataFrame:
@@ -71,16 +71,24 @@ def dense_numbers(ids: DataFrame) -> DataFrame:
     return placed.select("id", (rank + start[F.col("_part")]).cast("long").alias("number"))
 
 
-def prune_graph(graph: Graph, keep: Column) -> Graph:
+def prune_graph(graph: Graph, keep: Column, limit: int = HOT_ROWS) -> Graph:
     """The graph of the vertices for which ``keep`` holds, symmetric, simple and renumbered from 0 by ascending old id.
 
-    Vertices without a kept edge vanish. Vertex columns are kept, with ``old_id``.
+    Vertices without a kept edge vanish. Vertex columns are kept, with ``old_id``. Edges of a vertex
+    with more than ``limit`` of them stay where they are and meet its row by broadcast.
     """
+    work = Workspace(graph.edges.sparkSession, "prune")
     kept = graph.vertices.where(keep)
-    ids = kept.select("id")
-    edges = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    both = Graph(edges.select("src", "dst")).symmetrize().simplify()
-    numbers = dense_numbers(both.ends())
-    new = both.edges.join(numbers.withColumnsRenamed({"id": "src", "number": "_s"}), "src").join(numbers.withColumnsRenamed({"id": "dst", "number": "_d"}), "dst")
+    ids = work.cut(kept.select("id"))
+    pairs = work.cut(undirected(graph.edges))
+    n = pairs.count()
+    hot = {end: hot_keys(pairs, end, n, limit=limit) for end in ("lo", "hi")}
+    for end in ("lo", "hi"):
+        pairs = lookup(pairs, ids.withColumnRenamed("id", end), end, hot[end])
+    pairs = work.cut(pairs)
+    numbers = work.cut(dense_numbers(pairs.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()))
+    for end, new in (("lo", "_s"), ("hi", "_d")):
+        pairs = lookup(pairs, numbers.withColumnsRenamed({"id": end, "number": new}), end, hot[end])
+    both = pairs.select(F.explode(F.array(F.struct(F.col("_s").alias("src"), F.col("_d").alias("dst")), F.struct(F.col("_d").alias("src"), F.col("_s").alias("dst")))).alias("e"))
     vertices = kept.join(numbers, "id").withColumnRenamed("id", "old_id").withColumnRenamed("number", "id")
-    return Graph(new.select(F.col("_s").alias("src"), F.col("_d").alias("dst")), vertices)
+    return Graph(both.select("e.src", "e.dst"), vertices)

@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, undirected
 from graphloom.operators import cliques, mining, patterns, vertex
-from graphloom.operators.relational import difference, has_ended, join_edges, remove_duplicates
-from graphloom.runtime import Workspace, hot_keys, lookup
-
-
-def oriented(pairs: DataFrame) -> DataFrame:
-    """``a, b`` of ``lo, hi`` from the end of smaller degree (then smaller id): no vertex keeps more than about sqrt(2m) edges."""
-    deg = pairs.select(F.explode(F.array("lo", "hi")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
-    deg = Workspace(pairs.sparkSession, "degrees").cut(deg)
-    hot = hot_keys(deg, "x", deg.agg(F.sum("d")).first()[0] or 0, deg.withColumnRenamed("d", "n"))
-    both = lookup(lookup(pairs, deg.withColumnsRenamed({"x": "lo", "d": "dl"}), "lo", hot), deg.withColumnsRenamed({"x": "hi", "d": "dh"}), "hi", hot)
-    first = (F.col("dl") < F.col("dh")) | ((F.col("dl") == F.col("dh")) & (F.col("lo") < F.col("hi")))
-    return both.select(F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("b"))
-
-
-def undirected_triangles(pairs: DataFrame) -> DataFrame:
-    """``a, b, c`` ascending: each triangle of ``lo, hi`` once.
-
-    Edges point to the end of larger degree, so the two-edge paths that are built number at
-    most about m sqrt(2m), whatever the hubs; a path is a triangle if its ends are linked.
-    """
-    work = Workspace(pairs.sparkSession, "triangles")
-    pairs = work.cut(pairs.select("lo", "hi"))
-    out = work.cut(oriented(pairs))
-    path = out.join(out.withColumnRenamed("b", "c"), "a").where(F.col("b") < F.col("c"))
-    met = path.join(pairs.withColumnsRenamed({"lo": "b", "hi": "c"}), ["b", "c"], "left_semi")
-    return met.select(F.sort_array(F.array("a", "b", "c")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+from graphloom.operators.components import component_map
+from graphloom.operators.relational import difference, has_ended, hot_targets, join_edges, remove_duplicates
+from graphloom.operators.triangles import undirected_triangles
+from graphloom.plans import counting as counting_plans
+from graphloom.plans.counting import labelled_table
+from graphloom.runtime import HOT_ROWS, TILE, Hot, Workspace, hot_keys, lookup
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -53,27 +35,53 @@ def triangles(edges: DataFrame) -> DataFrame:
     return found.select("a", "b", "c", (F.col("ab") * F.col("bc") * F.col("ca")).alias("n"))
 
 
+def path_counts(edges: DataFrame) -> DataFrame:
+    """``origin, n_paths``: two-edge paths between different vertices by their start, none of which is built.
+
+    Edges become distinct pairs with the number of edges each way. A pair's edge goes on by all edges
+    out of its far end but those that lead back.
+    """
+    work = Workspace(edges.sparkSession, "paths")
+    ends = edges.where(F.col("src") != F.col("dst"))
+    pairs = ends.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.count_if(F.col("src") < F.col("dst")).alias("up"), F.count_if(F.col("src") > F.col("dst")).alias("down"))
+    pairs = work.cut(pairs)
+    ways = pairs.select(F.explode(F.array(F.struct("lo", "hi", "up", "down"), F.struct(F.col("hi").alias("lo"), F.col("lo").alias("hi"), F.col("down").alias("up"), F.col("up").alias("down")))).alias("w"))
+    ways = ways.select(F.col("w.lo").alias("origin"), F.col("w.hi").alias("via"), F.col("w.up").alias("there"), F.col("w.down").alias("back"))
+    degree = work.cut(ways.groupBy("via").agg(F.sum("back").alias("out"), F.count("*").alias("n")))
+    hot = hot_keys(None, "via", 2 * pairs.count(), degree.select("via", "n"))
+    on = lookup(ways.where(F.col("there") > 0), degree.select("via", "out"), "via", hot)
+    sums = on.groupBy("origin").agg(F.sum(F.col("there") * (F.col("out") - F.col("back"))).alias("n_paths"))
+    return sums.where(F.col("n_paths") > 0)
+
+
 def transitive_closure(edges: DataFrame, distinct_base: bool = True, max_rounds: int | None = None) -> DataFrame:
     """``src, dst``: pairs x != y with y reachable from x, semi-naive: only new pairs are joined.
 
+    The pairs known after round n are those of paths up to 2^n edges: a new path is a path found in the last
+    round, continued by any known one, so the rounds are log2 of the longest shortest path. With ``max_rounds``
+    paths grow by one edge a round instead, so that it bounds their length.
     With ``distinct_base=False`` repeated base edges stay repeated in the result.
     """
     work = Workspace(edges.sparkSession, "closure")
-    base = edges.select("src", "dst").where(F.col("src") != F.col("dst"))
-    bag = work.cut(base)
+    bag = work.cut(edges.select("src", "dst").where(F.col("src") != F.col("dst")))
     step = work.cut(bag.distinct())
-    known, delta, n = [step if distinct_base else bag], step, 0
-    closed = step
+    # The pairs found are in tables that don't overlap.
+    parts, delta, n = [step], step, 0
     while not has_ended(delta) and (max_rounds is None or n < max_rounds):
         n += 1
-        grown = join_edges(delta.select(F.col("src").alias("origin"), F.col("dst").alias("target")), step, lambda u, e: u("origin") != e("dst"), lambda u, e: {"src": u("origin"), "dst": e("dst")})
-        new = work.cut(difference(remove_duplicates(grown), closed))
-        known.append(new)
-        closed, delta = closed.unionByName(new), new
-    out = known[0]
-    for k in known[1:]:
-        out = out.unionByName(k)
-    return out
+        closed = reduce(DataFrame.unionByName, parts)
+        on = step if max_rounds is not None else closed
+        updates = delta.select(F.col("src").alias("origin"), F.col("dst").alias("target"))
+        hot = hot_targets(updates, on) if sum_large(delta, on) else None
+        grown = join_edges(updates, on, lambda u, e: u("origin") != e("dst"), lambda u, e: {"src": u("origin"), "dst": e("dst")}, hot)
+        delta = work.cut(difference(remove_duplicates(grown), closed))
+        parts.append(delta)
+    return reduce(DataFrame.unionByName, parts if distinct_base else [bag, *parts[1:]])
+
+
+def sum_large(*tables: DataFrame, limit: int = TILE) -> bool:
+    """Whether written tables have more than ``limit`` rows together, so that a key of a join may be hot."""
+    return sum(t.count() for t in tables) > limit
 
 
 def pagerank(graph: Graph, rounds: int = 4, mode: str = "cumulative") -> DataFrame:
@@ -101,43 +109,33 @@ def pagerank(graph: Graph, rounds: int = 4, mode: str = "cumulative") -> DataFra
     return state.select("id", "rank")
 
 
-def components_rounds(graph: Graph, rounds: int = 2) -> DataFrame:
+def components_rounds(graph: Graph, rounds: int = 2, limit: int = HOT_ROWS) -> DataFrame:
     """``id, component`` after ``rounds`` of pushing the smallest component along edge directions."""
+    work = Workspace(graph.edges.sparkSession, "pushes")
     ids = graph.ends() if graph.vertices is None else graph.vertices.select("id")
+    # Repeated edges push the same component.
+    edges = work.cut(graph.edges.select("src", "dst").distinct())
+    hot = hot_keys(edges, "src", edges.count(), limit=limit)
     state = vertex.init_vertices(ids, component=F.col("id"))
     for _ in range(rounds):
-        updates = vertex.scatter_vertices(graph.edges.select("src", "dst"), state, target=F.col("dst"), c=F.col("component"))
+        updates = vertex.scatter_vertices(edges, state, hot, target=F.col("dst"), c=F.col("component"))
         state = vertex.gather(state, updates, {"low": F.min("c")}, {"component": F.least("component", "low")})
     return state
 
 
-def components(graph: Graph) -> DataFrame:
-    """``id, component``: the least vertex linked with each vertex, directions ignored.
+def components(graph: Graph, limit: int = HOT_ROWS, **sizes: int) -> DataFrame:
+    """``id, component``: the least vertex linked with each vertex, directions ignored; rounds in the logarithm of the graph's size (see operators.components)."""
+    ends = graph.edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+    found = component_map(ends, limit, **sizes).select(F.col("c").alias("id"), F.col("p").alias("component"))
+    ids = graph.ends() if graph.vertices is None else graph.vertices.select("id")
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
 
-    Every round each vertex takes the least component among itself and its neighbours, then
-    the component of that vertex (pointer jumping), until a round changes nothing.
+def k_cliques(edges: DataFrame, k: int, counting: bool = False, keep: Column | None = None) -> dict[int, DataFrame]:
+    """For each size 2 .. k the cliques, ``members`` ascending. ``counting`` takes the counting form (the same cliques).
+
+    ``keep``: a predicate on ``members`` that each clique grown must meet; only those that do grow on.
     """
-    work = Workspace(graph.edges.sparkSession, "components")
-    links = work.cut(Graph(graph.edges.select("src", "dst")).symmetrize().simplify().edges)
-    n_links = links.count()
-    hot = hot_keys(links, "src", n_links)
-    ids = graph.ends() if graph.vertices is None else graph.vertices.select("id")
-    state = work.cut(ids.select("id", F.col("id").alias("component")))
-    while True:
-        pushed = lookup(links, state.withColumnRenamed("id", "src"), "src", hot).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("low"))
-        near = work.cut(state.join(pushed, "id", "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"), "component").toDF("id", "component", "old"))
-        above = near.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        jumped = lookup(near, above, "component", hot_keys(near, "component", near.count()), "left")
-        step = work.cut(jumped.select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        changed = step.agg(F.max(F.col("component") != F.col("old"))).first()[0]
-        work.drop(state, near)
-        state = step.select("id", "component")
-        if not changed:
-            return state
-
-
-def k_cliques(edges: DataFrame, k: int, counting: bool = False) -> dict[int, DataFrame]:
-    """For each size 2 .. k the cliques, ``members`` ascending. ``counting`` takes the counting form (the same cliques)."""
     if k < 2:
         raise ValueError("k must be 2 or more")
     work = Workspace(edges.sparkSession, "cliques")
@@ -145,25 +143,33 @@ def k_cliques(edges: DataFrame, k: int, counting: bool = False) -> dict[int, Dat
     levels = {2: cliques.init(pairs)}
     for size in range(3, k + 1):
         last = levels[size - 1]
-        grown = cliques.keep_complete(cliques.grow_any(last, pairs)) if counting else cliques.grow(last, pairs)
+        grown = cliques.keep_complete(cliques.grow_any(last, pairs, keep)) if counting else cliques.grow(last, pairs, keep)
         levels[size] = work.cut(grown) if size < k else grown
     return levels
 
 
-def motif_levels(graph: Graph, max_vertices: int, max_edges: int | None = None, dedupe: str = "edge_set") -> dict[int, DataFrame]:
+def _hot_vertices(level: DataFrame, edges: DataFrame, work: Workspace) -> Hot | None:
+    return mining.hot_vertices(level, edges) if sum_large(edges) else None
+
+
+def motif_levels(graph: Graph, max_vertices: int, max_edges: int | None = None, dedupe: str = "edge_set", shuffled: bool = False) -> dict[int, DataFrame]:
     """For each number of edges 2 .. ``max_edges`` (default ``max_vertices``) the connected subgraphs of at most ``max_vertices`` vertices.
 
     ``edge_set``: each set of edges once. ``rule``: as the ordering rule gives them,
-    which beyond three edges repeats some sets.
+    which beyond three edges repeats some sets. ``shuffled`` grows tuples in the shuffled form, with the same result.
     """
     if dedupe not in ("edge_set", "rule"):
         raise ValueError(dedupe)
     work = Workspace(graph.edges.sparkSession, "motifs")
-    edges = work.cut(graph.labelled_edges().distinct())
+    edges = labelled_table(graph, work)
     level, out = mining.init(edges), {}
     top = max_edges or max_vertices
     for n in range(2, top + 1):
-        level = mining.expand(level, edges, max_vertices)
+        hot = _hot_vertices(level, edges, work)
+        if shuffled:
+            level = mining.expand_at(mining.shuffle_by_vertex(level), edges, max_vertices, hot=hot)
+        else:
+            level = mining.expand(level, edges, max_vertices, hot=hot)
         if n > 3 and dedupe == "edge_set":
             level = mining.edge_sets(level)
         # The last level is not grown from: it is left to its reader.
@@ -172,32 +178,46 @@ def motif_levels(graph: Graph, max_vertices: int, max_edges: int | None = None,
     return out
 
 
-def motif_counts(graph: Graph, max_vertices: int, max_edges: int | None = None, dedupe: str = "edge_set") -> DataFrame:
-    """``pattern, n_vertices, n_edges, support`` of the unlabelled classes of ``motif_levels``."""
+def motif_counts(graph: Graph, max_vertices: int, max_edges: int | None = None, dedupe: str = "edge_set", shuffled: bool = False) -> DataFrame:
+    """``pattern, n_vertices, n_edges, support`` of the unlabelled classes of ``motif_levels``.
+
+    Sets of up to four edges on up to four vertices are counted without being built (see plans.counting).
+    """
+    top = max_edges or max_vertices
+    if dedupe == "edge_set" and not shuffled and max_vertices in (3, 4) and 2 <= top <= 4:
+        return counting_plans.motif_counts(graph.edges, max_vertices, top)
     out = None
-    for level in motif_levels(graph, max_vertices, max_edges, dedupe).values():
+    for level in motif_levels(graph, max_vertices, max_edges, dedupe, shuffled).values():
         part = patterns.count_patterns(level, labelled=False)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def frequent_subgraphs(graph: Graph, k: int, support: int, mode: str = "exact", levels: int | None = None, filter_last: bool = True, max_vertices: int | None = None) -> dict[int, tuple[DataFrame, DataFrame]]:
+def frequent_subgraphs(graph: Graph, k: int, support: int, mode: str = "exact", levels: int | None = None, filter_last: bool = True, max_vertices: int | None = None, shuffled: bool = False) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each number of edges 1 .. ``levels`` (default ``k``): (pattern counts that are frequent, kept subgraphs).
 
     ``exact``: an edge set is a candidate if some connected part with one edge less was
     kept; support is the number of distinct edge sets, whatever the vertex numbers.
     ``parity``: tuples grow from kept tuples by the ordering rule, and support is the
-    number of tuples, which depends on vertex numbers.
+    number of tuples, which depends on vertex numbers. ``shuffled`` (parity only) grows tuples in the shuffled
+    form, with the same result. Labels of edges count if the graph's edges have a column ``edge_label``.
     """
+    if shuffled and mode != "parity":
+        raise ValueError("the shuffled form goes by the ordering rule")
     if mode not in ("exact", "parity"):
         raise ValueError(mode)
     work = Workspace(graph.edges.sparkSession, "fsm")
-    edges = work.cut(graph.labelled_edges().distinct())
+    edges = labelled_table(graph, work)
     n_levels, size, out = levels or k, max_vertices or k, {}
     level = mining.init(edges)
     for n in range(1, n_levels + 1):
         if n > 1:
-            level = mining.expand(out[n - 1][1], edges, size, rule=mode == "parity")
+            last = out[n - 1][1]
+            hot = _hot_vertices(last, edges, work)
+            if shuffled:
+                level = mining.expand_at(mining.shuffle_by_vertex(last), edges, size, hot=hot)
+            else:
+                level = mining.expand(last, edges, size, rule=mode == "parity", hot=hot)
             level = work.cut(mining.edge_sets(level) if mode == "exact" else level)
         quicks = work.cut(patterns.quick_counts(level, labelled=True))
         counts = patterns.sum_patterns(quicks)
@@ -210,16 +230,26 @@ def frequent_subgraphs(graph: Graph, k: int, support: int, mode: str = "exact",
     return out
 
 
+def frequent_counts(graph: Graph, k: int, support: int, levels: int | None = None, max_vertices: int | None = None) -> dict[int, DataFrame]:
+    """The pattern counts of ``frequent_subgraphs`` (exact) for each number of edges, where the subgraphs themselves aren't wanted.
+
+    On up to three vertices they are counted by labels without being built (see plans.counting).
+    """
+    if (max_vertices or k) <= 3 and "edge_label" not in graph.edges.columns:
+        return counting_plans.frequent_counts(graph, levels or k, support, max_vertices or k)
+    return {n: counts for n, (counts, _) in frequent_subgraphs(graph, k, support, levels=levels, max_vertices=max_vertices).items()}
+
+
 def is_clique() -> Column:
     """Predicate on tuples: every two vertices are linked."""
     n = mining.n_vertices()
     return F.size("e") == n * (n - 1) / 2
 
 
-def general_cliques(graph: Graph, k: int) -> DataFrame:
+def general_cliques(graph: Graph, k: int, shuffled: bool = False) -> DataFrame:
     """``members`` of all cliques of 3 .. k vertices, found by growing subgraphs and collecting the complete ones."""
     out = None
-    for level in motif_levels(graph, k, k * (k - 1) // 2).values():
+    for level in motif_levels(graph, k, k * (k - 1) // 2, shuffled=shuffled).values():
         part = mining.collect(level, is_clique()).select(F.sort_array(F.array_distinct("v")).alias("members"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()

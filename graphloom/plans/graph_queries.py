@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, undirected
 from graphloom.operators import mining, patterns, relational, vertex
 from graphloom.plans import algorithms
-from graphloom.plans.part_graph import part_pairs
+from graphloom.plans.part_graph import part_graph, part_pairs
+from graphloom.runtime import Workspace, hot_keys
 from graphloom.sources import layout, sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +59,7 @@ _AP = f"{_A}, p AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS
 _L = "l AS (SELECT id, CAST((coalesce(label, 0) % 256 + 256) % 256 AS INTEGER) AS label FROM adjacency WHERE id IS NOT NULL)"
 _AL = f"{_AP}, {_L}, sl AS (SELECT x, y, coalesce(lx.label, 0) AS lx, coalesce(ly.label, 0) AS ly FROM s LEFT JOIN l lx ON lx.id = x LEFT JOIN l ly ON ly.id = y)"
 _V = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
+_MB = "m AS (SELECT src, target AS dst FROM match_pairs WHERE src IS NOT NULL AND target IS NOT NULL AND src <> target)"
 _M = "m AS (SELECT DISTINCT src, target AS dst FROM match_pairs WHERE src IS NOT NULL AND target IS NOT NULL AND src <> target)"
 
 
@@ -127,7 +130,9 @@ def scatter_edges(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"WITH {_E}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT dst AS target, round(1.0 / degree, 9) AS r FROM e JOIN d ON id = src")
 def scatter_with_state(spark: SparkSession, sf: str) -> DataFrame:
     g = _bag(spark, sf)
-    return vertex.scatter_vertices(g.edges, g.degrees(), target=F.col("dst"), r=F.round(F.lit(1.0) / F.col("degree"), 9))
+    # So low a limit that vertices are hot at any size.
+    hot = hot_keys(None, "src", counts=g.degrees().toDF("src", "n"), limit=100)
+    return vertex.scatter_vertices(g.edges, g.degrees(), hot, target=F.col("dst"), r=F.round(F.lit(1.0) / F.col("degree"), 9))
 
 
 @_query(f"WITH {_E}, {_V}, low AS (SELECT dst AS id, min(src) AS c FROM e GROUP BY dst) SELECT v.id, coalesce(least(v.id, c), v.id) AS component FROM v LEFT JOIN low USING (id)")
@@ -141,23 +146,49 @@ def degree(spark: SparkSession, sf: str) -> DataFrame:
     return vertex.with_degrees(g.ends(), g.edges)
 
 
-@_query(f"""
+_PRUNED = f"""
 WITH {_E}, k AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) >= 3), f AS (SELECT src, dst FROM e WHERE src IN (FROM k) AND dst IN (FROM k)),
 b AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT DISTINCT src AS id FROM b))
-SELECT x.i AS src, y.i AS dst FROM b JOIN n x ON x.id = src JOIN n y ON y.id = dst""")
+SELECT x.i AS src, y.i AS dst FROM b JOIN n x ON x.id = src JOIN n y ON y.id = dst"""
+
+
+@_query(_PRUNED)
 def prune_by_degree(spark: SparkSession, sf: str) -> DataFrame:
     g = _bag(spark, sf)
     return vertex.prune_graph(Graph(g.edges, vertex.with_degrees(g.ends(), g.edges)), F.col("degree") >= 3).edges
 
 
+@_query(_PRUNED)
+def prune_by_degree_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with so low a limit that vertices are hot at any size."""
+    g = _bag(spark, sf)
+    return vertex.prune_graph(Graph(g.edges, vertex.with_degrees(g.ends(), g.edges)), F.col("degree") >= 3, limit=50).edges
+
+
+@_query(f"WITH {_E}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT src AS target, count(*) AS n, round(sum(1.0 / degree), 6) AS r FROM e JOIN d ON id = src GROUP BY src")
+def scatter_updates_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates of edges, mapped to updates keyed by where they came from."""
+    g = _bag(spark, sf)
+    updates = vertex.scatter_vertices(g.edges, g.degrees(), target=F.col("dst"), origin=F.col("src"), r=F.lit(1.0) / F.col("degree"))
+    back = vertex.scatter_updates(updates, target=F.col("origin"), r=F.col("r"))
+    return back.groupBy("target").agg(F.count("*").alias("n"), F.round(F.sum("r"), 6).alias("r"))
+
+
 # Relational algebra
 @_query(f"WITH {_E} SELECT x.src AS origin, count(*) AS n_paths FROM e x JOIN e y ON x.dst = y.src WHERE x.src <> y.dst GROUP BY 1")
 def join_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Two-edge paths between different vertices, counted by their start."""
-    e = _bag(spark, sf).edges
-    updates = vertex.scatter(e, target=F.col("dst"), origin=F.col("src"))
-    paths = relational.join_edges(updates, e, lambda u, d: u("origin") != d("dst"), lambda u, d: {"target": d("dst"), "origin": u("origin")})
-    return paths.groupBy("origin").agg(F.count("*").alias("n_paths"))
+    return algorithms.path_counts(_bag(spark, sf).edges)
+
+
+@_query(f"WITH {_MB} SELECT x.src AS origin, y.dst AS target, count(*) AS n_paths FROM m x JOIN m y ON x.dst = y.src WHERE x.src <> y.dst GROUP BY ALL")
+def join_match_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the join operator over match pairs, with limits so low that its hot keys are cut into parts at any size."""
+    m = _matches(spark, sf).edges
+    updates = vertex.scatter(m, target=F.col("dst"), origin=F.col("src"))
+    hot = relational.hot_targets(updates, m, limit=10, tile=4)
+    paths = relational.join_edges(updates, m, lambda u, e: u("origin") != e("dst"), lambda u, e: {"target": e("dst"), "origin": u("origin")}, hot)
+    return paths.groupBy("origin", "target").agg(F.count("*").alias("n_paths"))
 
 
 @_query(f"WITH {_E} SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)")
@@ -209,16 +240,25 @@ def components_2rounds(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.components_rounds(_bag(spark, sf), 2)
 
 
-@_query(f"""
+_COMPONENTS = f"""
 WITH RECURSIVE {_E}, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 reach(v, g) USING KEY (v) AS (
   SELECT a, least(a, min(b)) FROM s GROUP BY a
   UNION SELECT s.b, min(r.g) FROM reach r JOIN s ON s.a = r.v JOIN recurring.reach o ON o.v = s.b WHERE r.g < o.g GROUP BY s.b)
-SELECT v AS id, g AS component FROM reach""")
+SELECT v AS id, g AS component FROM reach"""
+
+
+@_query(_COMPONENTS)
 def components(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.components(_bag(spark, sf))
 
 
+@_query(_COMPONENTS)
+def components_distributed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every round distributed and so low a limit that vertices are hot at any size."""
+    return algorithms.components(_bag(spark, sf), limit=100, small=0)
+
+
 def _rank_sql(cumulative: bool) -> str:
     rounds = []
     for i in range(4):
@@ -300,28 +340,87 @@ def _motif_rows(rows: list[tuple[str, int, int, str]]) -> str:
     return " UNION ALL ".join(f"SELECT '{p}' AS pattern, {v} AS n_vertices, {e} AS n_edges, k AS support FROM {t}" for p, v, e, t in rows)
 
 
-@_query(_MOTIFS + _motif_rows([("0 0 0|0-1 0-2", 3, 2, "wedge"), ("0 0 0|0-1 0-2 1-2", 3, 3, "tri")]))
+_MOTIFS3 = [("0 0 0|0-1 0-2", 3, 2, "wedge"), ("0 0 0|0-1 0-2 1-2", 3, 3, "tri")]
+_MOTIFS4 = [
+    *_MOTIFS3, ("0 0 0 0|0-1 0-2 0-3", 4, 3, "star"), ("0 0 0 0|0-1 0-2 1-3", 4, 3, "path"),
+    ("0 0 0 0|0-1 0-2 1-3 2-3", 4, 4, "square"), ("0 0 0 0|0-1 0-2 0-3 1-2", 4, 4, "tail"),
+]
+
+
+@_query(_MOTIFS + _motif_rows(_MOTIFS3))
 def motif3(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.motif_counts(_mined(spark, sf), 3)
 
 
-@_query(
-    _MOTIFS
-    + _motif_rows(
-        [
-            ("0 0 0|0-1 0-2", 3, 2, "wedge"), ("0 0 0|0-1 0-2 1-2", 3, 3, "tri"), ("0 0 0 0|0-1 0-2 0-3", 4, 3, "star"),
-            ("0 0 0 0|0-1 0-2 1-3", 4, 3, "path"), ("0 0 0 0|0-1 0-2 1-3 2-3", 4, 4, "square"), ("0 0 0 0|0-1 0-2 0-3 1-2", 4, 4, "tail"),
-        ]
-    )
-)
+@_query(_MOTIFS + _motif_rows(_MOTIFS3))
+def motif3_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """The same classes, but all subgraphs are built and counted."""
+    out = [patterns.count_patterns(level) for level in algorithms.motif_levels(_mined(spark, sf), 3).values()]
+    return out[0].unionByName(out[1])
+
+
+@_query(_MOTIFS + _motif_rows(_MOTIFS4))
 def motif4(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.motif_counts(_mined(spark, sf), 4)
 
 
-@_query(None)
-def motif4_rule(spark: SparkSession, sf: str) -> DataFrame:
-    """As the ordering rule gives them: with four edges some sets count more than once."""
-    return algorithms.motif_counts(_mined(spark, sf), 4, dedupe="rule")
+def _plain_label(g: Graph) -> Graph:
+    return Graph(g.edges, g.ends().withColumn("label", F.lit(0)))
+
+
+def _parts40(spark: SparkSession, sf: str) -> Graph:
+    """Parts with a line of quantity 40 and more in one order."""
+    return _plain_label(part_graph(spark, sf, 40))
+
+
+def _growth(levels: int, most: int, keep: dict[int, str] | None = None) -> str:
+    """SQL of the ordering rule: CTEs t1 .. t<levels> over edges ``s`` (x, y, both directions).
+
+    A tuple has its vertices v0 .. vk, for each the vertex p it grew from and the edge (a, b) between them, smaller end first.
+    ``keep`` is a predicate on the tuples of a level that may grow.
+    """
+    keep = keep or {}
+    ctes = ["t1 AS (SELECT x AS v0, CAST(NULL AS BIGINT) AS p0, y AS v1, x AS p1, x AS a1, y AS b1 FROM s WHERE x < y)"]
+    for k in range(1, levels):
+        seen = f"[{', '.join(f'v{j}' for j in range(k + 1))}]"
+        parts = []
+        for i in range(k + 1):
+            first = " AND ".join(f"v{i} <> v{j}" for j in range(i)) or "true"
+            bar = " AND ".join(f"(least(v{i}, y), greatest(v{i}, y)) > (a{j}, b{j})" for j in range(i + 1, k + 1)) or "true"
+            room = f"len(list_distinct({seen})) + CASE WHEN list_contains({seen}, y) THEN 0 ELSE 1 END <= {most}"
+            parts.append(
+                f"SELECT t.*, y AS v{k + 1}, v{i} AS p{k + 1}, least(v{i}, y) AS a{k + 1}, greatest(v{i}, y) AS b{k + 1} FROM t{k} t JOIN s ON x = v{i} "
+                f"WHERE {keep.get(k, 'true')} AND {first} AND y >= v0 AND (p{i} IS NULL OR y <> p{i}) AND NOT (list_contains({seen}, y) AND v{i} > y) AND {room} AND {bar}"
+            )
+        ctes.append(f"t{k + 1} AS ({' UNION ALL '.join(parts)})")
+    return ", ".join(ctes)
+
+
+def _rule_rows(levels: int) -> str:
+    """Classes of the tuples t2 .. by their size and largest degree, which tell classes of up to four edges on four vertices apart."""
+    rows = []
+    for k in range(2, levels + 1):
+        ends = "[" + ", ".join(f"a{j}, b{j}" for j in range(1, k + 1)) + "]"
+        rows.append(f"SELECT len(list_distinct(e)) AS nv, {k} AS ne, list_max(list_transform(e, lambda x : len(list_filter(e, lambda y : y = x)))) AS top FROM (SELECT {ends} AS e FROM t{k})")
+    codes = {(3, 2, 2): "0 0 0|0-1 0-2", (3, 3, 2): "0 0 0|0-1 0-2 1-2", (4, 3, 3): "0 0 0 0|0-1 0-2 0-3", (4, 3, 2): "0 0 0 0|0-1 0-2 1-3", (4, 4, 2): "0 0 0 0|0-1 0-2 1-3 2-3", (4, 4, 3): "0 0 0 0|0-1 0-2 0-3 1-2"}
+    case = " ".join(f"WHEN nv = {a} AND ne = {b} AND top = {c} THEN '{code}'" for (a, b, c), code in codes.items())
+    return f"SELECT CASE {case} END AS pattern, CAST(nv AS INTEGER) AS n_vertices, ne AS n_edges, count(*) AS support FROM ({' UNION ALL '.join(rows)}) GROUP BY ALL"
+
+
+@_query(f"WITH {_AP}, {_growth(3, 3)} {_rule_rows(3)}")
+def motif3_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """Motifs of three vertices, by steps of the fused shuffled form."""
+    edges = _mined(spark, sf).labelled_edges()
+    work = Workspace(spark, "shuffled")
+    edges = work.cut(edges)
+    keyed = mining.shuffle_by_vertex(mining.init(edges))
+    out = []
+    for _ in range(2):
+        hot = mining.hot_vertices(keyed.select("v").distinct(), edges)
+        keyed = work.cut(mining.expand_and_shuffle(keyed, edges, 3, hot=hot))
+        # Each tuple stands once for each of its vertices: at its first position it is counted.
+        out.append(patterns.count_patterns(keyed.where(F.col("i") == 0)))
+    return out[0].unionByName(out[1])
 
 
 @_query(_MOTIFS + _motif_rows([("0 0 0|0-1 0-2", 3, 2, "wedge")]))
@@ -331,13 +430,30 @@ def motif_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.count_patterns(mining.expand_at(mining.shuffle_by_vertex(mining.init(edges)), edges, 3))
 
 
+@_query(
+    f"WITH {_AP}, {_L}, {_C3} SELECT CASE WHEN x = y THEN '0 0 0|0-1:' || x || ' 0-2:' || y ELSE '0 0 0|0-1:' || least(x, y) || ' 0-2:' || greatest(x, y) END AS pattern, 3 AS n_vertices, 2 AS n_edges, count(*) AS support "
+    "FROM (SELECT (f.x + f.y) % 3 AS x, (g.x + g.y) % 3 AS y FROM s f JOIN s g ON f.x = g.x AND f.y < g.y) GROUP BY ALL"
+)
+def edge_label_wedges(spark: SparkSession, sf: str) -> DataFrame:
+    """Wedges by the labels of their edges, which an adjacency file gives."""
+    g = _edge_labelled(spark, sf).symmetrize()
+    level = algorithms.motif_levels(_plain_label(g), 3, 2)[2]
+    return patterns.count_patterns(level, labelled=True)
+
+
+@_query(_MOTIFS + "SELECT pattern, n_automorphisms FROM (" + _motif_rows(_MOTIFS4) + ") JOIN (VALUES " + ", ".join(f"('{p}', {n})" for (p, *_), n in zip(_MOTIFS4, (2, 6, 6, 2, 8, 2), strict=True)) + ") t(pattern, n_automorphisms) USING (pattern)")
+def pattern_automorphisms(spark: SparkSession, sf: str) -> DataFrame:
+    """How many ways each class of subgraphs can be laid onto itself."""
+    return patterns.with_automorphisms(algorithms.motif_counts(_mined(spark, sf), 4)).select("pattern", "n_automorphisms")
+
+
 # Frequent subgraphs
 _PAIR = f"WITH {_AL}, c1 AS (SELECT least(lx, ly) AS l0, greatest(lx, ly) AS l1, count(*) AS support FROM sl WHERE x < y GROUP BY 1, 2), f1 AS (SELECT * FROM c1 WHERE support >= {SUPPORT})"
 
 
 @_query(_PAIR + "SELECT l0 || ' ' || l1 || '|0-1' AS pattern, 2 AS n_vertices, 1 AS n_edges, support FROM f1")
 def fsm_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return algorithms.frequent_subgraphs(_mined(spark, sf), 1, SUPPORT, max_vertices=2)[1][0]
+    return algorithms.frequent_counts(_mined(spark, sf), 1, SUPPORT, max_vertices=2)[1]
 
 
 @_query(_PAIR + "SELECT x AS src, y AS dst FROM sl JOIN f1 ON l0 = least(lx, ly) AND l1 = greatest(lx, ly) WHERE x < y")
@@ -360,7 +476,7 @@ SELECT pattern, 3 AS n_vertices, 2 AS n_edges, support FROM t WHERE support >= {
 @_query(_wedges("f.ok OR h.ok"))
 def fsm_wedges(spark: SparkSession, sf: str) -> DataFrame:
     """Frequent two-edge subgraphs, exact."""
-    return algorithms.frequent_subgraphs(_mined(spark, sf), 2, SUPPORT, max_vertices=3)[2][0]
+    return algorithms.frequent_counts(_mined(spark, sf), 2, SUPPORT, max_vertices=3)[2]
 
 
 @_query(_wedges("f.ok"))
@@ -369,11 +485,14 @@ def fsm_wedges_parity(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.frequent_subgraphs(_mined(spark, sf), 2, SUPPORT, mode="parity", max_vertices=3)[2][0]
 
 
-def _levels(counts: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    out = None
-    for level, _ in counts.values():
-        out = level if out is None else out.unionByName(level)
-    return out
+@_query(_wedges("f.ok"))
+def fsm_wedges_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in the shuffled form."""
+    return algorithms.frequent_subgraphs(_mined(spark, sf), 2, SUPPORT, mode="parity", max_vertices=3, shuffled=True)[2][0]
+
+
+def _levels(counts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, counts)
 
 
 _K3 = (
@@ -393,13 +512,41 @@ UNION ALL SELECT pattern, 3, 2, support FROM f2 UNION ALL SELECT pattern, 3, 3,
 @_query(_K3)
 def fsm_k3(spark: SparkSession, sf: str) -> DataFrame:
     """Frequent subgraphs of up to three edges and three vertices, exact."""
-    return _levels(algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT))
+    return _levels([*algorithms.frequent_counts(_mined(spark, sf), 3, SUPPORT).values()])
+
+
+@_query(_K3)
+def fsm_k3_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """The same classes, but all subgraphs are built, counted and kept or dropped."""
+    return _levels([c for c, _ in algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT).values()])
+
 
+def _wedge_code(c: str, a: str, b: str) -> str:
+    """SQL of the code of a wedge with centre label ``c`` and end labels ``a`` <= ``b``."""
+    return f"CASE WHEN {c} <= {a} THEN {c} || ' ' || {a} || ' ' || {b} || '|0-1 0-2' WHEN {c} <= {b} THEN {a} || ' ' || {c} || ' ' || {b} || '|0-1 1-2' ELSE {a} || ' ' || {b} || ' ' || {c} || '|0-2 1-2' END"
 
-@_query(None)
+
+_UNFILTERED = (
+    _PAIR
+    + f""", {_growth(2, 3, {1: "(SELECT count(*) FROM sl JOIN f1 ON l0 = least(lx, ly) AND l1 = greatest(lx, ly) WHERE sl.x = v0 AND sl.y = v1) > 0"})},
+w2 AS (SELECT t2.*, p2 AS m, CASE WHEN p2 = v0 THEN v1 ELSE v0 END AS u FROM t2),
+k2 AS (SELECT w2.*, {_wedge_code("c", "least(q, r)", "greatest(q, r)")} AS pattern FROM (
+  SELECT w2.*, coalesce(x.label, 0) AS c, coalesce(y.label, 0) AS q, coalesce(z.label, 0) AS r FROM w2 LEFT JOIN l x ON x.id = m LEFT JOIN l y ON y.id = u LEFT JOIN l z ON z.id = v2) w2),
+f2 AS (SELECT pattern, count(*) AS support FROM k2 GROUP BY 1 HAVING count(*) >= {SUPPORT}),
+t3 AS (SELECT k2.* FROM k2 JOIN s ON x = least(u, v2) AND y = greatest(u, v2) WHERE pattern IN (SELECT pattern FROM f2)
+  -- the closing edge is added at its smaller end; it must lie above all edges after that end, and not lead back
+  AND CASE WHEN least(u, v2) = v2 THEN true WHEN least(u, v2) = v1 THEN (least(u, v2), greatest(u, v2)) > (a2, b2) ELSE (least(u, v2), greatest(u, v2)) > (a1, b1) AND (least(u, v2), greatest(u, v2)) > (a2, b2) END),
+n3 AS (SELECT list_sort([coalesce(x.label, 0), coalesce(y.label, 0), coalesce(z.label, 0)]) AS k FROM t3 LEFT JOIN l x ON x.id = v0 LEFT JOIN l y ON y.id = v1 LEFT JOIN l z ON z.id = v2)
+SELECT l0 || ' ' || l1 || '|0-1' AS pattern, 2 AS n_vertices, 1 AS n_edges, support FROM f1
+UNION ALL SELECT pattern, 3, 2, support FROM f2
+UNION ALL SELECT array_to_string(k, ' ') || '|0-1 0-2 1-2', 3, 3, count(*) FROM n3 GROUP BY k"""
+)
+
+
+@_query(_UNFILTERED)
 def fsm_k3_unfiltered(spark: SparkSession, sf: str) -> DataFrame:
     """The variant with k(k-1)/2 levels of which the last isn't filtered, as tuples grow."""
-    return _levels(algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT, mode="parity", levels=3, filter_last=False))
+    return _levels([c for c, _ in algorithms.frequent_subgraphs(_mined(spark, sf), 3, SUPPORT, mode="parity", levels=3, filter_last=False).values()])
 
 
 _PARTS = "b AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT DISTINCT x.p AS src, y.p AS dst FROM b x JOIN b y ON x.o = y.o AND x.p <> y.p), p AS (SELECT src AS lo, dst AS hi FROM s WHERE src < dst)"
@@ -414,3 +561,170 @@ def copart_degree(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"WITH {_PARTS}, {_C3} SELECT a, count(*) AS n_triangles FROM c3 GROUP BY a")
 def copart_triangle_count(spark: SparkSession, sf: str) -> DataFrame:
     return algorithms.undirected_triangles(undirected(part_pairs(spark, sf))).groupBy("a").agg(F.count("*").alias("n_triangles"))
+
+
+def _parts(least: int) -> str:
+    """CTEs s (src, dst) and p (lo, hi) of parts with a line of so much in one order."""
+    return f"b AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity >= {least}), g AS (SELECT DISTINCT x.p AS src, y.p AS dst FROM b x JOIN b y ON x.o = y.o AND x.p <> y.p), p AS (SELECT src AS lo, dst AS hi FROM g WHERE src < dst), s AS (SELECT src AS x, dst AS y FROM g)"
+
+
+@_query(f"WITH {_parts(40)}, {_C3}, {_C4} SELECT a, b, c, d FROM c4")
+def copart_clique4(spark: SparkSession, sf: str) -> DataFrame:
+    m = algorithms.k_cliques(part_pairs(spark, sf, 40), 4)[4]
+    return m.select(*[F.col("members")[i].alias(x) for i, x in enumerate("abcd")])
+
+
+@_query(f"WITH {_parts(40)}, {_C3}, {_C4} SELECT a, b, c, d FROM c4 WHERE a + d < b + c")
+def copart_clique4_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Cliques of a predicate on their members."""
+    x = F.col("members")
+    m = algorithms.k_cliques(part_pairs(spark, sf, 40), 4, counting=True, keep=(F.size(x) < 4) | (x[0] + F.get(x, F.lit(3)) < x[1] + F.get(x, F.lit(2))))[4]
+    return m.select(*[x[i].alias(n) for i, n in enumerate("abcd")])
+
+
+@_query(f"WITH {_parts(40)}, {_C3}, {_C4} SELECT [a, b, c] AS members FROM c3 UNION ALL SELECT [a, b, c, d] FROM c4")
+def copart_general_cliques4(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.general_cliques(_parts40(spark, sf), 4, shuffled=True)
+
+
+@_query(f"WITH RECURSIVE {_parts(49)}, m AS (SELECT lo AS src, hi AS dst FROM p), t AS (SELECT src, dst FROM m UNION SELECT t.src, m.dst FROM t JOIN m ON t.dst = m.src) SELECT src, dst FROM t")
+def copart_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.transitive_closure(part_pairs(spark, sf, 49).where("src < dst"))
+
+
+def _on_parts(sql: str) -> str:
+    """The SQL of motifs over the part graph instead of the adjacency table."""
+    return sql.replace(_AP, _parts(40))
+
+
+@_query(_on_parts(_MOTIFS + _motif_rows(_MOTIFS3)))
+def copart_motif3(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.motif_counts(_parts40(spark, sf), 3)
+
+
+@_query(_on_parts(_MOTIFS + _motif_rows(_MOTIFS4)))
+def copart_motif4(spark: SparkSession, sf: str) -> DataFrame:
+    return algorithms.motif_counts(_parts40(spark, sf), 4)
+
+
+@_query(_on_parts(_MOTIFS + _motif_rows(_MOTIFS4)))
+def copart_motif4_grown(spark: SparkSession, sf: str) -> DataFrame:
+    """The same classes, but all subgraphs are built."""
+    return _levels([patterns.count_patterns(x) for x in algorithms.motif_levels(_parts40(spark, sf), 4).values()])
+
+
+@_query(f"WITH {_parts(40)}, {_growth(4, 4)} {_rule_rows(4)}")
+def motif4_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """As the ordering rule gives them: with four edges some sets count more than once."""
+    return algorithms.motif_counts(_parts40(spark, sf), 4, dedupe="rule")
+
+
+@_query(f"WITH {_parts(40)}, {_growth(4, 4)} {_rule_rows(4)}")
+def motif4_rule_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in the shuffled form."""
+    return algorithms.motif_counts(_parts40(spark, sf), 4, dedupe="rule", shuffled=True)
+
+
+# Files
+def _lines(spark: SparkSession, sf: str, edge_labels: bool) -> DataFrame:
+    """The adjacency table as lines of a file."""
+    x = spark.read.parquet(f"{sf}/adjacency.parquet").where(F.col("id").isNotNull())
+    near = F.filter(F.coalesce("neighbours", F.array().cast("array<bigint>")), lambda n: n.isNotNull())
+    words = F.flatten(F.transform(near, lambda n: F.array(n, (F.col("id") + n) % 3))) if edge_labels else near
+    return x.select(F.concat_ws(" ", F.col("id").cast("string"), F.coalesce("label", F.lit(0)).cast("string"), words.cast("array<string>")).alias("value"))
+
+
+def _file(lines: DataFrame, name: str) -> str:
+    path = f"{Workspace(lines.sparkSession, 'files').root}/{name}"
+    lines.write.text(path)
+    return path
+
+
+@_query(f"WITH {_A}, {_L} SELECT src, dst, CAST(coalesce(x.label, 0) AS INTEGER) AS src_label, CAST(coalesce(y.label, 0) AS INTEGER) AS dst_label FROM a LEFT JOIN l x ON x.id = src LEFT JOIN l y ON y.id = dst")
+def adjacency_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The adjacency table written as a text file and read from it."""
+    return text.read_adjacency(spark, _file(_lines(spark, sf, False), "adjacency"), shift=False).labelled_edges()
+
+
+@_query(f"WITH {_A}, {_L}, low AS (SELECT least(min(src), min(dst), (SELECT min(id) FROM l)) AS i, greatest(max(src), max(dst), (SELECT max(id) FROM l)) AS j FROM a) SELECT r.n AS id, CAST(coalesce(l.label, 0) AS INTEGER) AS label FROM low, range(0, j - i + 1) r(n) LEFT JOIN l ON l.id = r.n + i")
+def adjacency_file_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    """All vertices of the file, ids shifted and gaps filled."""
+    return text.read_adjacency(spark, _file(_lines(spark, sf, False), "adjacency")).vertices
+
+
+def _edge_labelled(spark: SparkSession, sf: str) -> Graph:
+    return text.read_adjacency(spark, _file(_lines(spark, sf, True), "labelled"), edge_labels=True, shift=False)
+
+
+@_query(f"WITH {_A} SELECT src, dst, CAST((src + dst) % 3 AS INTEGER) AS edge_label FROM a")
+def edge_label_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return _edge_labelled(spark, sf).edges.select("src", "dst", "edge_label")
+
+
+@_query(f"WITH {_E} SELECT src, dst FROM e")
+def edge_list_unshifted(spark: SparkSession, sf: str) -> DataFrame:
+    """The edge table written as an edge-list file and read with its own ids."""
+    lines = _bag(spark, sf).edges.select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string")).alias("value"))
+    return text.read_edge_list(spark, _file(lines, "edges"), shift=False).edges
+
+
+@_query("""
+WITH f AS (SELECT string_split(trim(regexp_replace(line, '[\t, \r]+', ' ', 'g'), ' '), ' ') AS f FROM raw_edge_lines WHERE line IS NOT NULL AND NOT regexp_matches(line, '^[#%]')),
+n AS (SELECT CASE WHEN regexp_full_match(f[1], '[+-]?[0-9]+') THEN TRY_CAST(f[1] AS BIGINT) END AS src, CASE WHEN regexp_full_match(f[2], '[+-]?[0-9]+') THEN TRY_CAST(f[2] AS BIGINT) END AS dst,
+  CASE WHEN regexp_full_match(f[3], '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') AND abs(TRY_CAST(f[3] AS DOUBLE)) < 3.4028235677973366e38 THEN TRY_CAST(f[3] AS DOUBLE) END AS weight FROM f)
+SELECT src, dst, weight IS NOT NULL AS weighted, count(*) AS n FROM n WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL""")
+def weighted_edge_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of edge lists as weighted edges, whatever their delimiter."""
+    lines = spark.read.parquet(f"{sf}/raw_edge_lines.parquet").select(F.col("line").alias("value"))
+    edges = text.parse_edge_list(lines, weighted=True)
+    return edges.groupBy("src", "dst", F.col("weight").isNotNull().alias("weighted")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_E} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")
+def saved_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """The edge table written in the library's own layout and loaded from it."""
+    path = f"{Workspace(spark, 'files').root}/graph"
+    layout.save(_bag(spark, sf), path)
+    return layout.load(spark, path).edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+_NUMBERED = f"""
+WITH {_M}, {_L}, i AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT src AS id FROM m UNION SELECT dst FROM m)),
+v AS (SELECT n, coalesce(label, 0) AS label FROM i LEFT JOIN l USING (id)),
+q AS (SELECT DISTINCT least(x.n, y.n) AS lo, greatest(x.n, y.n) AS hi FROM m JOIN i x ON x.id = src JOIN i y ON y.id = dst)"""
+
+
+def _numbered(spark: SparkSession, sf: str) -> Graph:
+    """Match pairs with vertices numbered from 1, and the labels of the adjacency table."""
+    m = _matches(spark, sf)
+    numbers = vertex.dense_numbers(m.ends()).withColumn("number", F.col("number") + 1)
+    for end in ("src", "dst"):
+        m = Graph(m.edges.join(numbers.withColumnsRenamed({"id": end, "number": f"n_{end}"}), end))
+    labels = numbers.join(_lists(spark, sf).vertices, "id", "left").select(F.col("number").alias("id"), F.coalesce("label", F.lit(0)).alias("label"))
+    return Graph(m.edges.select(F.col("n_src").alias("src"), F.col("n_dst").alias("dst")), labels)
+
+
+@_query(_NUMBERED + " SELECT 'p edge ' || (SELECT count(*) FROM v) || ' ' || (SELECT count(*) FROM q) AS value UNION ALL SELECT 'n ' || n || ' ' || label FROM v UNION ALL SELECT 'e ' || lo || ' ' || hi FROM q")
+def dimacs_text(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.dimacs_lines(_numbered(spark, sf))
+
+
+@_query(_NUMBERED + " SELECT lo AS src, hi AS dst, x.label AS src_label, y.label AS dst_label FROM (SELECT lo, hi FROM q UNION ALL SELECT hi, lo FROM q) JOIN v x ON x.n = lo JOIN v y ON y.n = hi")
+def dimacs_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a file, read again."""
+    return text.read_dimacs(spark, _file(sinks.dimacs_lines(_numbered(spark, sf)), "dimacs")).labelled_edges()
+
+
+@_query(_NUMBERED + """ SELECT 'graph g {' AS value UNION ALL SELECT '}' UNION ALL SELECT 'v' || n || ' [label="' || n || ':' || label || '"];' FROM v UNION ALL SELECT 'v' || lo || ' -- v' || hi || ';' FROM q""")
+def dot_text(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.dot_lines(_numbered(spark, sf))
+
+
+@_query(f"WITH {_E} SELECT 'written' AS state, count(*) AS n_rows FROM e UNION ALL SELECT 'dropped', 0")
+def dropped_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of an intermediate table before and after it is dropped."""
+    work = Workspace(spark, "dropped")
+    table = work.cut(_bag(spark, sf).edges)
+    n = table.count()
+    work.drop(table)
+    return spark.createDataFrame([("written", n), ("dropped", len(work.tables()))], "state string, n_rows long")

@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph
 
 
+#: A decimal number; the cast alone would take more, such as a suffix for its type.
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+#: Ids sparser than one in so many are not filled up to a whole range unless told to.
+SPARSE = 64
+
+
 def parse_edge_list(lines: DataFrame, weighted: bool = False, drop_self_loops: bool = True) -> DataFrame:
     """``src, dst[, weight]`` of lines ``value``: fields divided by tabs, commas or blanks.
 
     Lines that begin with # or % and lines without two integers are left out. A
-    third field is read as the weight, null where it is missing or no number.
+    third field is read as the weight, null where it is missing or no finite decimal number.
     Duplicates and direction are kept. Works on a stream as well as on a table.
     """
     kept = lines.where(F.col("value").isNotNull() & ~F.col("value").rlike("^[#%]"))
     f = F.split(F.trim(F.regexp_replace("value", r"[\t, \r]+", " ")), " ")
     columns = [F.when(F.get("_f", F.lit(i)).rlike("^[+-]?[0-9]+$"), F.get("_f", F.lit(i))).try_cast("long").alias(n) for i, n in enumerate(("src", "dst"))]
     if weighted:
-        columns.append(F.get("_f", F.lit(2)).try_cast("float").alias("weight"))
+        weight = F.when(F.get("_f", F.lit(2)).rlike(NUMBER), F.get("_f", F.lit(2))).try_cast("float")
+        columns.append(F.when(F.abs(weight) < F.lit(float("inf")), weight).alias("weight"))
     edges = kept.select(f.alias("_f")).select(*columns).where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     return edges.where(F.col("src") != F.col("dst")) if drop_self_loops else edges
 
@@ -32,12 +39,14 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False, shift
     return Graph(graph.edges.where(F.col("src") != F.col("dst"))) if drop_self_loops else graph
 
 
-def read_adjacency(spark: SparkSession, path: str, edge_labels: bool = False, wrap_labels: bool = True, shift: bool = True) -> Graph:
+def read_adjacency(spark: SparkSession, path: str, edge_labels: bool = False, wrap_labels: bool = True, shift: bool = True, fill_gaps: bool | None = None) -> Graph:
     """Labelled adjacency lists ``id label n1 n2 ...``, by tabs or blanks.
 
     Neighbours are distinct within their line, self-loops go, ids in gaps get label 0.
     With ``edge_labels`` each neighbour is followed by the label of its edge, which comes
     out as column ``edge_label``. A missing line end at the end of the file loses nothing.
+    Shifted ids without a line get a vertex unless ``fill_gaps`` is false; if it isn't said, they do where the ids span
+    at most SPARSE times as many as there are vertices.
     """
     f = F.transform(F.split(F.trim(F.regexp_replace("value", r"[\t \r]+", " ")), " "), lambda x: x.try_cast("long"))
     rows = spark.read.text(path).where(F.trim("value") != "").select(f.alias("f")).where(F.size("f") >= 2)
@@ -57,7 +66,9 @@ def read_adjacency(spark: SparkSession, path: str, edge_labels: bool = False, wr
         low = 0
     top = graph.vertices.agg(F.max("id")).first()[0]
     known = graph.vertices.withColumn("id", F.col("id") - low)
-    gaps = spark.range(0, (top - low + 1) if top is not None else 0).join(known, "id", "left").select("id", F.coalesce("label", F.lit(0)).alias("label")) if shift else known
+    span = (top - low + 1) if top is not None else 0
+    fill = shift and (span <= SPARSE * graph.vertices.count() if fill_gaps is None else fill_gaps)
+    gaps = spark.range(0, span).join(known, "id", "left").select("id", F.coalesce("label", F.lit(0)).alias("label")) if fill else known
     return Graph(graph.edges.withColumns({"src": F.col("src") - low, "dst": F.col("dst") - low}), gaps)
 
 

@@ -1,9 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators import components as component_plans
 from graphloom.operators import relational, vertex
 from graphloom.plans import algorithms
 from graphloom.sources import layout, sinks, text
@@ -212,3 +214,44 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(70)]
     assert {r.component for r in algorithms.components(Graph(edges(spark, chain))).collect()} == {0}
     assert rows(algorithms.components_rounds(Graph(edges(spark, [(0, 1), (1, 2), (2, 3)])), 2)) == [(0, 0), (1, 0), (2, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"small": 0}, {"small": 0, "limit": 3}, {"small": 40}])
+def test_components_of_a_hard_path(spark, sizes, monkeypatch):
+    # 0, n, n - 1, ..., 1: the least label is far from all others but one.
+    n, cuts = 400, []
+    path = [0, *range(n, 0, -1)]
+    monkeypatch.setattr(component_plans.Workspace, "cut", lambda self, df, f=component_plans.Workspace.cut: cuts.append(1) or f(self, df))
+    got = algorithms.components(Graph(edges(spark, list(zip(path, path[1:], strict=False)))), **sizes).collect()
+    assert len(got) == n + 1 and {r.component for r in got} == {0}
+    # Rounds are at most log2 n, and so are the doubling steps of each.
+    assert len(cuts) <= 2 * math.log2(n) * (1 if sizes.get("small", 1) else 2)
+
+
+@pytest.mark.parametrize("limit", [1, 10**6])
+def test_path_counts(spark, limit, monkeypatch):
+    pairs = random_pairs(8, 10, 60)
+    want = {}
+    for a, b in pairs:
+        for c, d in pairs:
+            if a != b and b == c and c != d and a != d:
+                want[a] = want.get(a, 0) + 1
+    assert dict(rows(algorithms.path_counts(edges(spark, pairs)))) == want
+
+
+def test_long_closure(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(40)] + [(7, 3)])
+    assert rows(algorithms.transitive_closure(chain)) == sorted(reach([(i, i + 1) for i in range(40)] + [(7, 3)]))
+    assert algorithms.transitive_closure(edges(spark, [(i, i + 1) for i in range(5)]), max_rounds=1).count() == 9
+
+
+def test_weights_are_finite_decimal_numbers(spark):
+    lines = spark.createDataFrame([("1 2 3f",), ("1 2 nan",), ("1 2 1e39",), ("1 2 .5",), ("1 2 2.",), ("1 2",)], "value string")
+    assert sorted((r.weight for r in text.parse_edge_list(lines, weighted=True).collect()), key=str) == [0.5, 2.0, None, None, None, None]
+
+
+def test_sparse_ids_are_not_filled(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1 5 4000000000\n")
+    assert rows(text.read_adjacency(spark, str(tmp_path / "a.txt")).vertices) == [(0, 5), (3999999999, 0)]
+    (tmp_path / "b.txt").write_text("1 5 400\n")
+    assert text.read_adjacency(spark, str(tmp_path / "b.txt"), fill_gaps=True).vertices.count() == 400

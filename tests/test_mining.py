@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -153,6 +154,13 @@ def test_frequent_subgraphs_as_tuples_grow(spark):
     assert {n: {r.pattern: r.support for r in c.collect()} for n, (c, _) in got.items()} == parity_fsm(pairs, labels, 3, 3)
 
 
+@pytest.mark.parametrize("counting", [False, True])
+def test_cliques_of_a_predicate(spark, counting):
+    g = graph(spark, list(combinations(range(6), 2)))
+    levels = algorithms.k_cliques(g.edges, 4, counting, keep=~F.array_contains("members", F.lit(3).cast("long")))
+    assert sorted(tuple(r.members) for r in levels[4].collect()) == list(combinations((0, 1, 2, 4, 5), 4))
+
+
 @pytest.mark.parametrize("counting", [False, True])
 def test_cliques(spark, counting):
     pairs, _ = random_graph(41, 9, 0.7)
@@ -187,6 +195,53 @@ def test_codes_of_paths_and_stars():
     assert canonical_code((1, 1, 2), ((0, 1), (0, 2))) != canonical_code((1, 1, 2), ((0, 2), (1, 2)))
 
 
+@pytest.mark.parametrize("max_vertices", [3, 4])
+def test_counts_without_building(spark, max_vertices):
+    for seed in (51, 52):
+        pairs, _ = random_graph(seed, 9)
+        want = Counter(code(es, {}) for n in range(2, max_vertices + 1) for es in brute(pairs, n, max_vertices))
+        assert {r.pattern: r.support for r in algorithms.motif_counts(graph(spark, pairs), max_vertices).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [61, 62])
+def test_frequent_counts_without_building(spark, seed):
+    pairs, labels = random_graph(seed, 9)
+    got = algorithms.frequent_counts(graph(spark, pairs, labels), 3, 3)
+    assert {n: {r.pattern: r.support for r in c.collect()} for n, c in got.items()} == exact_fsm(pairs, labels, 3, 3)
+
+
+def test_labels_of_edges(spark):
+    pairs, _ = random_graph(71, 6)
+    kind = {p: (p[0] * 7 + p[1]) % 2 for p in pairs}
+    e = spark.createDataFrame([(a, b, kind[a, b]) for a, b in pairs] + [(b, a, kind[a, b]) for a, b in pairs], "src long, dst long, edge_label int")
+    g = Graph(e, spark.createDataFrame([(i, 0) for i in range(6)], "id long, label int"))
+    for shuffled in (False, True):
+        for n, level in algorithms.motif_levels(g, 4, 3, shuffled=shuffled).items():
+            want = Counter()
+            for es in brute(pairs, n, 4):
+                ids = sorted({x for p in es for x in p})
+                want[canonical_code((0,) * len(ids), tuple((ids.index(a), ids.index(b)) for a, b in es), tuple(kind[p] for p in es))] += 1
+            assert {r.pattern: r.support for r in patterns.count_patterns(level, labelled=True).collect()} == want
+
+
+def test_fused_shuffled_growth(spark):
+    pairs, labels = random_graph(13)
+    e = graph(spark, pairs, labels).labelled_edges()
+    keyed = mining.expand_and_shuffle(mining.shuffle_by_vertex(mining.init(e)), e, 4)
+    want = mining.by_vertex(mining.expand(mining.init(e), e, 4))
+    assert sorted(map(str, keyed.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_growth_cut_into_parts(spark):
+    pairs, labels = random_graph(14)
+    e = graph(spark, pairs, labels).labelled_edges()
+    t = mining.expand(mining.init(e), e, 4)
+    hot = mining.hot_vertices(t, e, limit=4, tile=2)
+    assert hot is not None
+    a, b = mining.expand(t, e, 4), mining.expand(t, e, 4, hot=hot)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
 @pytest.mark.parametrize("n", [4, 6, 10])
 def test_codes_do_not_depend_on_numbering(n):
     rng = random.Random(n)
@@ -200,6 +255,21 @@ def test_codes_do_not_depend_on_numbering(n):
         assert canonical_code(tuple(labels), tuple(es)) == canonical_code(tuple(moved), tuple(tuple(sorted((p[a], p[b]))) for a, b in es))
 
 
+def test_codes_of_large_graphs_are_quick():
+    began = time.time()
+    for n in (8, 9):
+        assert canonical_code((0,) * n, tuple(combinations(range(n), 2))).count("-") == n * (n - 1) // 2
+        assert canonical_code((0,) * n, tuple((i, (i + 1) % n) for i in range(n))).startswith("0 " * (n - 1))
+    assert time.time() - began < 0.4
+
+
+def test_codes_with_labels_of_edges():
+    path = ((0, 1), (1, 2))
+    assert canonical_code((0, 0, 0), path, (1, 2)) == canonical_code((0, 0, 0), path, (2, 1)) == "0 0 0|0-1:1 0-2:2"
+    assert canonical_code((0, 0, 0), path, (1, 1)) != canonical_code((0, 0, 0), path, (1, 2))
+    assert len(automorphisms((0, 0, 0), path, (1, 2))) == 1 and len(automorphisms((0, 0, 0), path, (1, 1))) == 2
+
+
 def test_automorphisms():
     assert len(automorphisms((0,) * 4, ((0, 1), (1, 2), (2, 3), (0, 3)))) == 8
     assert automorphisms((0, 0, 1), ((0, 2), (1, 2))) == [(0, 1, 2), (1, 0, 2)]

@@ -5,7 +5,6 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import quantiles
 from graphloom.operators.quantiles import per_key_quantiles
 
 PROBS = (0.0, 0.25, 0.5, 0.9, 1.0)
@@ -27,14 +26,12 @@ def got(df, key="k"):
 
 @pytest.mark.parametrize("spread", [1, 3, 300, 10**6, 2**50, 2**63 - 1])
 @pytest.mark.parametrize("large_bins", [False, True])
-def test_against_brute_force(spark, monkeypatch, spread, large_bins):
-    if large_bins:  # every open bin counts as hot
-        monkeypatch.setattr(quantiles, "HOT_FLOOR", 2)
-        monkeypatch.setattr(quantiles, "HOT_PARTS", 10**6)
+def test_against_brute_force(spark, spread, large_bins):
     rng = random.Random(spread)
     rows = [(rng.choice([None, 1, 1, 1, 1, 2, *range(3, 40)]), rng.choice([None, *[rng.randint(-spread, spread) for _ in range(9)]])) for _ in range(1500)]
     df = spark.createDataFrame(rows, "k long, v long")
-    assert got(per_key_quantiles(df, "k", "v", PROBS, 0.1)) == brute(rows, PROBS, 0.1)
+    more = {"limit": 2} if large_bins else {}  # every open bin counts as hot
+    assert got(per_key_quantiles(df, "k", "v", PROBS, 0.1, **more)) == brute(rows, PROBS, 0.1)
 
 
 def test_ties_repeated_rows_and_other_columns(spark):
@@ -49,6 +46,18 @@ def test_empty_and_all_null(spark):
     assert got(per_key_quantiles(df, "k", "v", (0.5,))) == {1: (1, 0, True, None)}
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_floats(spark, kind):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.choice([None, 0.0, -0.0, math.inf, -math.inf, *[rng.uniform(-1, 1) * 2.0 ** rng.randrange(-30, 30) for _ in range(9)]])) for _ in range(800)]
+    df = spark.createDataFrame(rows, "k long, v double").withColumn("v", F.col("v").cast(kind))
+    rows = [(r.k, r.v) for r in df.collect()]
+    assert got(per_key_quantiles(df, "k", "v", PROBS, 0.1)) == brute(rows, PROBS, 0.1)
+    odd = spark.createDataFrame([(1, math.nan), (1, 5.0), (1, -0.0)], "k long, v double")
+    low, high = got(per_key_quantiles(odd, "k", "v", (0.0, 1.0)))[1][3:]
+    assert str(low) == "0.0" and math.isnan(high)
+
+
 def test_timestamps_and_wrong_types(spark):
     df = spark.createDataFrame([(1, datetime(2020, 1, d)) for d in (1, 2, 3)], "k long, v timestamp")
     assert got(per_key_quantiles(df, "k", "v", (0.5,)))[1][3] == 1577923200000000
