@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, undirected
 from graphloom.operators import cliques, mining, patterns, vertex
 from graphloom.operators.components import component_map
-from graphloom.operators.relational import difference, has_ended, hot_targets, join_edges, remove_duplicates
-from graphloom.operators.triangles import undirected_triangles
+from graphloom.operators.relational import difference, hot_targets, join_edges, remove_duplicates
+from graphloom.operators.triangles import oriented, undirected_triangles
 from graphloom.plans import counting as counting_plans
 from graphloom.plans.counting import labelled_table
 from graphloom.runtime import HOT_ROWS, TILE, Hot, Workspace, hot_keys, lookup
@@ -66,15 +66,18 @@ def transitive_closure(edges: DataFrame, distinct_base: bool = True, max_rounds:
     bag = work.cut(edges.select("src", "dst").where(F.col("src") != F.col("dst")))
     step = work.cut(bag.distinct())
     # The pairs found are in tables that don't overlap.
-    parts, delta, n = [step], step, 0
-    while not has_ended(delta) and (max_rounds is None or n < max_rounds):
-        n += 1
+    parts, delta, n, rows, new = [step], step, 0, 0, step.count()
+    while new and (max_rounds is None or n < max_rounds):
+        n, rows = n + 1, rows + new
         closed = reduce(DataFrame.unionByName, parts)
         on = step if max_rounds is not None else closed
         updates = delta.select(F.col("src").alias("origin"), F.col("dst").alias("target"))
-        hot = hot_targets(updates, on) if sum_large(delta, on) else None
+        # A key's results are at most all new pairs, each continued by the most pairs that begin at a vertex.
+        most = 1 if new * rows <= TILE**2 else on.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        hot = hot_targets(updates, on) if new * most > TILE**2 or most > HOT_ROWS else None
         grown = join_edges(updates, on, lambda u, e: u("origin") != e("dst"), lambda u, e: {"src": u("origin"), "dst": e("dst")}, hot)
         delta = work.cut(difference(remove_duplicates(grown), closed))
+        new = delta.count()
         parts.append(delta)
     return reduce(DataFrame.unionByName, parts if distinct_base else [bag, *parts[1:]])
 
@@ -140,6 +143,15 @@ def k_cliques(edges: DataFrame, k: int, counting: bool = False, keep: Column | N
         raise ValueError("k must be 2 or more")
     work = Workspace(edges.sparkSession, "cliques")
     pairs = work.cut(undirected(edges))
+    if not counting and keep is None:
+        # By direction no hub is met with all its neighbours twice.
+        directed = work.cut(oriented(pairs).select("a", "b"))
+        up = directed.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), (F.col("a") < F.col("b")).alias("up"))
+        levels = {2: cliques.init_directed(directed)}
+        for size in range(3, k + 1):
+            grown = cliques.grow_directed(levels[size - 1], up)
+            levels[size] = work.cut(grown) if size < k else grown
+        return {size: level.select(F.sort_array("members").alias("members")) for size, level in levels.items()}
     levels = {2: cliques.init(pairs)}
     for size in range(3, k + 1):
         last = levels[size - 1]

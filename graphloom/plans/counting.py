@@ -101,7 +101,7 @@ def frequent_counts(graph: Graph, levels: int, support: int, max_vertices: int)
         marked = near.join(links.select(F.col("l0").alias("_l0"), F.col("l1").alias("_l1"), F.lit(True).alias("ok")), (low == F.col("_l0")) & (high == F.col("_l1")), "left")
         near = work.cut(marked.select("src", "src_label", F.col("dst_label").alias("x"), "n", F.coalesce("ok", F.lit(False)).alias("ok")))
         other = near.select("src", F.col("x").alias("y"), F.col("n").alias("m"), F.col("ok").alias("ok_y"))
-        hot = hot_pairs(near.select("src"), near.select("src"), "src") if near.count() > TILE else None
+        hot = hot_pairs(near, near, "src") if near.count() > TILE else None
         both = salted_join(near, other, "src", hot, "x", "y").where((F.col("x") <= F.col("y")) & (F.col("ok") | F.col("ok_y")))
         ways = F.when(F.col("x") < F.col("y"), F.col("n") * F.col("m")).otherwise(F.expr("n * (n - 1) div 2"))
         wedges = work.cut(both.groupBy(F.col("src_label").alias("c"), "x", "y").agg(F.sum(ways).alias("support")).where(often))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, undirected
 from graphloom.operators import mining, patterns, relational, vertex
 from graphloom.plans import algorithms
-from graphloom.plans.part_graph import part_graph, part_pairs
+from graphloom.plans.part_graph import part_graph, part_links, part_pairs
 from graphloom.runtime import Workspace, hot_keys
 from graphloom.sources import layout, sinks, text
 
@@ -560,7 +560,7 @@ def copart_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"WITH {_PARTS}, {_C3} SELECT a, count(*) AS n_triangles FROM c3 GROUP BY a")
 def copart_triangle_count(spark: SparkSession, sf: str) -> DataFrame:
-    return algorithms.undirected_triangles(undirected(part_pairs(spark, sf))).groupBy("a").agg(F.count("*").alias("n_triangles"))
+    return algorithms.undirected_triangles(undirected(part_links(spark, sf).edges)).groupBy("a").agg(F.count("*").alias("n_triangles"))
 
 
 def _parts(least: int) -> str:
@@ -570,7 +570,7 @@ def _parts(least: int) -> str:
 
 @_query(f"WITH {_parts(40)}, {_C3}, {_C4} SELECT a, b, c, d FROM c4")
 def copart_clique4(spark: SparkSession, sf: str) -> DataFrame:
-    m = algorithms.k_cliques(part_pairs(spark, sf, 40), 4)[4]
+    m = algorithms.k_cliques(part_links(spark, sf, 40).edges, 4)[4]
     return m.select(*[F.col("members")[i].alias(x) for i, x in enumerate("abcd")])
 
 
@@ -599,12 +599,12 @@ def _on_parts(sql: str) -> str:
 
 @_query(_on_parts(_MOTIFS + _motif_rows(_MOTIFS3)))
 def copart_motif3(spark: SparkSession, sf: str) -> DataFrame:
-    return algorithms.motif_counts(_parts40(spark, sf), 3)
+    return algorithms.motif_counts(part_links(spark, sf, 40), 3)
 
 
 @_query(_on_parts(_MOTIFS + _motif_rows(_MOTIFS4)))
 def copart_motif4(spark: SparkSession, sf: str) -> DataFrame:
-    return algorithms.motif_counts(_parts40(spark, sf), 4)
+    return algorithms.motif_counts(part_links(spark, sf, 40), 4)
 
 
 @_query(_on_parts(_MOTIFS + _motif_rows(_MOTIFS4)))

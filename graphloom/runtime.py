@@ -197,6 +197,11 @@ def hot_pairs(left: DataFrame, right: DataFrame, key: str | Sequence[str], limit
     of the left are cut into ``_pl`` parts and those of the right into ``_pr``, so that no part has more than that.
     """
     keys = _names(key)
+    if right is left:
+        # A table joined with itself needs one count, and no join.
+        n = left.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > min(limit, tile)) & reduce(and_, [F.col(k).isNotNull() for k in keys]))
+        parts_of_one = F.ceil(F.col("n") / F.least(F.lit(float(limit)), F.lit(float(tile))))
+        return _hot_table(n.select(*keys, parts_of_one.alias("_pl"), parts_of_one.alias("_pr")), keys)
     nl, nr = (df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((left, "nl"), (right, "nr")))
     both = nl.join(nr, list(keys)).where((F.col("nl") > limit) | (F.col("nr") > limit) | (F.col("nl") * F.col("nr").cast("double") > tile * tile))
 
