@@ -1,16 +1,8 @@
 """One group identifier for all vertices that pairs link directly or through others.
 
-Method: deterministic Borůvka hooking. Edges are ordered by their ends (smaller
-end first). Each component selects its smallest outgoing edge; this gives trees
-whose only cycle is the tree's least edge, selected from both its ends. The smaller end
-of that edge is the tree's root. Trees collapse by pointer doubling, edges are
-relabelled to roots and deduplicated, and the next round starts, until no edge is
-left. The number of components at least halves each round. By this order the root of a tree
-is its least vertex, so the last root is the least vertex of the group.
-
-The maps of the rounds (component to root) shrink at least by half each; they are
-composed from the last back to the first. All tables are cut into the shared
-folder, hot components are met by broadcast (see runtime.lookup).
+Method: deterministic Borůvka hooking (see ``operators.components``): every component selects its
+smallest outgoing edge, trees collapse by pointer doubling, edges are relabelled and
+deduplicated until none remain. The last root is the least vertex of the group.
 """
 
 from __future__ import annotations
@@ -18,64 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import HOT_FLOOR, Workspace, hot_keys, lookup
-
-
-def _collapse(work: Workspace, parents: DataFrame, n: int, floor: int) -> DataFrame:
-    """(c, p) with every p replaced by the root of its tree; roots have p = c."""
-    table = parents
-    while True:
-        hot = hot_keys(table, "p", n, None, floor)
-        above = table.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        step = work.cut(lookup(table.select("c", "p"), above, "p", hot).select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-        work.drop(table)
-        table = step
-        if not step.agg(F.max("moved")).first()[0]:
-            return step.select("c", "p")
+from graphloom.operators.components import SMALL, component_map
+from graphloom.runtime import HOT_ROWS
 
 
-def link_groups(pairs: DataFrame, src: str = "src", target: str = "target", hot_floor: int = HOT_FLOOR) -> DataFrame:
+def link_groups(pairs: DataFrame, src: str = "src", target: str = "target", hot_rows: int = HOT_ROWS, small: int = SMALL) -> DataFrame:
     """``group_id, vertex_id``: one row for each vertex of a pair with both ends present.
 
     ``group_id`` is the least vertex linked with the vertex, directly or indirectly.
     A vertex paired only with itself is a group of one. Pairs with a null end are
     left out; direction and repetition don't matter; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. The first round is always distributed, and so is every other of a graph of more
+    than ``small`` rows.
     """
-    work = Workspace(pairs.sparkSession, "groups")
     both = pairs.select(F.col(src).alias("a"), F.col(target).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     lone = both.where(F.col("a") == F.col("b")).select(F.col("a").alias("vertex_id")).distinct()
     ends = both.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    edges = work.cut(ends.distinct())
-    maps: list[DataFrame] = []
-    while (n_edges := edges.count()) > 0:
-        # The smallest edge (smaller end first) of a component is the one to its least neighbour, whichever end that is.
-        outgoing = edges.select(F.col("lo").alias("c"), F.col("hi").alias("p")).unionByName(edges.select(F.col("hi").alias("c"), F.col("lo").alias("p")))
-        hooked = work.cut(outgoing.groupBy("c").agg(F.min("p").alias("p"), F.count("*").alias("n")))
-        n = hooked.count()
-        # Both ends of a tree's least edge hook to each other: the smaller one is the root. All others go up two steps at once.
-        table = hooked.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        mutual = F.col("pp") == F.col("c")
-        rooted = lookup(hooked.select("c", "p"), table, "p", hot_keys(hooked, "p", n, None, hot_floor))
-        parents = work.cut(rooted.select("c", F.when(mutual, F.least("c", "p")).otherwise(F.col("pp")).alias("p")))
-        roots = _collapse(work, parents, n, hot_floor)
-        maps.append(roots)
-        hot = hot_keys(hooked, "c", 2 * n_edges, hooked.select("c", "n"), hot_floor)
-        half = lookup(edges.withColumnRenamed("lo", "c"), roots, "c", hot).select(F.col("p").alias("r1"), F.col("hi").alias("c"))
-        whole = lookup(half, roots, "c", hot).select("r1", F.col("p").alias("r2")).where(F.col("r1") != F.col("r2"))
-        nxt = work.cut(whole.select(F.least("r1", "r2").alias("lo"), F.greatest("r1", "r2").alias("hi")).distinct())
-        work.drop(edges, hooked)
-        edges = nxt
-    if not maps:
-        return lone.select(F.col("vertex_id").alias("group_id"), "vertex_id")
-    final = maps.pop()
-    while maps:
-        inner = maps.pop()
-        n = inner.count()
-        # A root that hooked nowhere later keeps itself.
-        outer = final.select(F.col("c").alias("p"), F.col("p").alias("g"))
-        joined = lookup(inner, outer, "p", hot_keys(inner, "p", n, None, hot_floor), "left")
-        final = work.cut(joined.select("c", F.coalesce("g", "p").alias("p")))
-    linked = final.select(F.col("p").alias("group_id"), F.col("c").alias("vertex_id"))
+    linked = component_map(ends, hot_rows, small).select(F.col("p").alias("group_id"), F.col("c").alias("vertex_id"))
     alone = lone.join(linked.select("vertex_id"), "vertex_id", "left_anti")
     return linked.unionByName(alone.select(F.col("vertex_id").alias("group_id"), "vertex_id"))

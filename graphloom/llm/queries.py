@@ -52,6 +52,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return link_groups(_table(spark, sf, "match_pairs"))
 
 
+def p5_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every round distributed, and so low a limit that vertices are hot at any size."""
+    return link_groups(_table(spark, sf, "match_pairs"), hot_rows=100, small=0)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(_table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -72,7 +77,7 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_records, p4_found, p4_labels, p5_found, p6_ids, p7_found, p8_found, p8_forms)
+    f.__name__: f for f in (p3_found, p3_records, p4_found, p4_labels, p5_found, p5_rounds, p6_ids, p7_found, p8_found, p8_forms)
 }
 
 #: The edge of a record as an expression over its words; the table's records have no accents set apart.
@@ -91,19 +96,22 @@ counted AS (SELECT CAST(label AS BIGINT) AS label, count(*) AS occurrences, coun
 marked AS (SELECT *, CASE WHEN n_rows < 5 THEN 'rare' WHEN n_rows > 0.03 * (SELECT count(*) FROM labeled_edges) THEN 'common' END AS mark FROM counted)
 """
 
-ORACLE: dict[str, str] = {
-    "p3_found": _RECORDS + "SELECT first_id, rec_id FROM grouped WHERE rec_id > first_id",
-    "p3_records": _RECORDS + "SELECT first_id, copies FROM grouped WHERE rec_id = first_id",
-    "p4_found": _LABELS + "SELECT label, mark FROM marked WHERE mark IS NOT NULL",
-    "p4_labels": _LABELS + "SELECT label, occurrences, n_rows, mark FROM marked",
-    "p5_found": """
+_GROUPS = """
 WITH RECURSIVE links AS (
   SELECT src AS a, target AS b FROM match_pairs WHERE src IS NOT NULL AND target IS NOT NULL
   UNION SELECT target, src FROM match_pairs WHERE src IS NOT NULL AND target IS NOT NULL),
 reach(v, g) USING KEY (v) AS (
   SELECT a, min(b) FROM (SELECT a, least(a, b) AS b FROM links) GROUP BY a
   UNION SELECT l.b, min(r.g) FROM reach r JOIN links l ON l.a = r.v JOIN recurring.reach o ON o.v = l.b WHERE r.g < o.g GROUP BY l.b)
-SELECT g AS group_id, v AS vertex_id FROM reach""",
+SELECT g AS group_id, v AS vertex_id FROM reach"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": _RECORDS + "SELECT first_id, rec_id FROM grouped WHERE rec_id > first_id",
+    "p3_records": _RECORDS + "SELECT first_id, copies FROM grouped WHERE rec_id = first_id",
+    "p4_found": _LABELS + "SELECT label, mark FROM marked WHERE mark IS NOT NULL",
+    "p4_labels": _LABELS + "SELECT label, occurrences, n_rows, mark FROM marked",
+    "p5_found": _GROUPS,
+    "p5_rounds": _GROUPS,
     "p7_found": f"""
 WITH d AS (SELECT doc_id, string_split({word_key_sql('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, string_split({word_key_sql('text')}, ' ') AS w FROM eval_items WHERE text IS NOT NULL),

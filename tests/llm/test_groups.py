@@ -47,7 +47,14 @@ def test_groups(spark, name):
     assert sorted(map(tuple, link_groups(df).collect())) == brute(CASES[name])
 
 
+@pytest.mark.parametrize("sizes", [{"hot_rows": 3}, {"hot_rows": 3, "small": 0}, {"small": 0}, {"small": 150}])
 @pytest.mark.parametrize("name", ["random", "star of the greatest", "chain shuffled"])
-def test_hot_vertices_are_met_by_broadcast(spark, name):
+def test_hot_vertices_and_distributed_rounds(spark, name, sizes):
     df = spark.createDataFrame(CASES[name], "src long, target long")
-    assert sorted(map(tuple, link_groups(df, hot_floor=3).collect())) == brute(CASES[name])
+    assert sorted(map(tuple, link_groups(df, **sizes).collect())) == brute(CASES[name])
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_other_ids(spark, small):
+    df = spark.createDataFrame([("b", "a"), ("b", "ü"), ("x", "x"), ("é", "z")], "src string, target string")
+    assert sorted(map(tuple, link_groups(df, small=small).collect())) == [("a", "a"), ("a", "b"), ("a", "ü"), ("x", "x"), ("z", "z"), ("z", "é")]
