@@ -9,25 +9,29 @@ bucket gives the patterns that may stand here, and direct comparison confirms.
 Patterns are searched in classes of like length, for a short item would make
 all shifts short.
 
-The items are a stated set, all documents are read once and whole. The set's size
-is checked: its patterns go to the workers in blocks of bounded size, and a set
-larger than one block takes one pass for each block.
+The items are a stated set, all documents are read whole. Items are brought to words on the workers and
+written. They go to the workers as broadcast blocks of bounded size; a set larger than one block takes one pass
+for each block, over documents that were brought to words once for all passes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.visual import LOOK_ALIKES, duckdb_session, form_sql, mappings, pieces
+from graphloom.functions.arrow import duckdb_session, pieces
+from graphloom.llm.visual import LOOK_ALIKES, form_sql, mappings
+from graphloom.runtime import Workspace
 
 #: Words of items that one pass over the corpus takes at most; about 100 MB on a worker.
 BLOCK_WORDS = 200_000
 
 
+@lru_cache
 def word_key_sql(text: str) -> str:
     """DuckDB SQL: the words of ``text`` in consistent form without letter case, with one space between.
 
@@ -91,39 +95,37 @@ def build(items: Sequence[tuple[object, str]], n: int) -> list[WuManber]:
     return [WuManber(c) for c in classes.values()]
 
 
-def _keys(sql: str):
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        con = duckdb_session()
-        for batch in batches:
-            con.register("part", pa.Table.from_batches([batch]))
-            yield from con.sql(sql).to_arrow_table().to_batches()
+def _keys(batches: Iterator) -> Iterator:
+    """(id, words with one space between) of (id, text)."""
+    import pyarrow as pa
 
-    return run
+    con = duckdb_session()
+    for batch in batches:
+        for part in pieces(batch, 1):
+            con.register("part", pa.Table.from_batches([part]))
+            yield from con.sql(f"SELECT id, {word_key_sql('text')} AS k FROM part").to_arrow_table().to_batches()
 
 
-def _search(searchers: list[WuManber], item_type: str):
-    sql = f"SELECT id, {word_key_sql('text')} AS k FROM part WHERE text IS NOT NULL"
+def _search(block, n: int, item_type: str, ready: bool):
+    """Searches (id, text) or, if ``ready``, (id, words) for the items of a broadcast block."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        con = duckdb_session()
-        for batch in batches:
-            for part in pieces(batch, 1):
-                con.register("part", pa.Table.from_batches([part]))
-                got = con.sql(sql).to_arrow_table()
-                docs, hits = [], []
-                for doc, key in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                    words = key.split(" ")
-                    found: set = set()
-                    for s in searchers:
-                        found |= s.find(words)
-                    for item in found:
-                        docs.append(doc)
-                        hits.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, got.schema.field(0).type), pa.array(hits, pa.int64() if item_type == "bigint" else pa.string())], names=["id", "item"])
+        # The broadcast variable lives as long as the worker, so the tables are built once for all its tasks.
+        if not hasattr(block, "_searchers"):
+            block._searchers = build(block.value, n)
+        searchers = block._searchers
+        for part in (p for batch in batches for p in pieces(batch, 1)) if ready else _keys(batches):
+            docs, hits = [], []
+            for doc, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = key.split(" ")
+                found: set = set()
+                for s in searchers:
+                    found |= s.find(words)
+                docs.extend([doc] * len(found))
+                hits.extend(found)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, part.schema.field(0).type), pa.array(hits, pa.int64() if item_type == "bigint" else pa.string())], names=["id", "item"])
 
     return run
 
@@ -140,19 +142,27 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     kind = docs.schema[doc_id].dataType.simpleString()
     item_kind = "bigint" if items.schema[item_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
     wanted = items.select(F.col(item_id).cast(item_kind).alias("id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    blocks: list[list[tuple[object, str]]] = [[]]
-    held = 0
-    for item, key in wanted.mapInArrow(_keys(f"SELECT id, {word_key_sql('text')} AS k FROM part"), f"id {item_kind}, k string").toLocalIterator():
-        size = key.count(" ") + 1
-        if blocks[-1] and held + size > block_words:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item, key))
-        held += size
     source = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    out = None
-    for block in blocks:
-        searchers = build(block, n)
-        part = source.mapInArrow(_search(searchers, item_kind), f"id {kind}, item {item_kind}") if searchers else spark.createDataFrame([], f"id {kind}, item {item_kind}")
-        out = part if out is None else out.unionByName(part)
-    return out
+    work = Workspace(spark, "leaks")
+    keys = work.cut(wanted.mapInArrow(_keys, f"id {item_kind}, k string").where(F.col("k") != "").select("id", "k", (F.length("k") - F.length(F.replace("k", F.lit(" "), F.lit(""))) + 1).alias("n")))
+    total = keys.agg(F.sum("n")).first()[0]
+    if not total:
+        return spark.createDataFrame([], f"id {kind}, item {item_kind}")
+    ready = total > block_words
+    if ready:
+        # More than one block: the corpus is brought to words once, and each block reads those.
+        source = work.cut(source.mapInArrow(_keys, f"id {kind}, k string").where(F.col("k") != ""))
+    out, block, held = None, [], 0
+
+    def searched() -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+        part = source.mapInArrow(_search(sent, n, item_kind, ready), f"id {kind}, item {item_kind}")
+        return part if out is None else out.unionByName(part)
+
+    # The driver holds one block of items at a time.
+    for item, key, size in keys.toLocalIterator():
+        if block and held + size > block_words:
+            out, block, held = searched(), [], 0
+        block.append((item, key))
+        held += size
+    return searched()

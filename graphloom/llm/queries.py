@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm import plain_forms
 from graphloom.llm.encode import encode_corpus
 from graphloom.llm.groups import link_groups
-from graphloom.llm.leaks import leaked_items, word_key_sql
+from graphloom.llm.leaks import leaked_items
 from graphloom.llm.merkle import collapse_copies, edges_of_records
 from graphloom.llm.terms import term_counts
-from graphloom.llm.visual import consistent_form, form_sql, look_alike_pairs
+from graphloom.llm.visual import consistent_form, look_alike_classes, look_alike_pairs
 
 EDGE = T.StructType([T.StructField("src", T.StringType()), T.StructField("target", T.StringType())])
 
@@ -76,8 +77,13 @@ def p8_forms(spark: SparkSession, sf: str) -> DataFrame:
     return consistent_form(_table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "form")
 
 
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that looks like one with another text, with its class."""
+    return look_alike_classes(_table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_records, p4_found, p4_labels, p5_found, p5_rounds, p6_ids, p7_found, p8_found, p8_forms)
+    f.__name__: f for f in (p3_found, p3_records, p4_found, p4_labels, p5_found, p5_rounds, p6_ids, p7_found, p8_found, p8_forms, p8_classes)
 }
 
 #: The edge of a record as an expression over its words; the table's records have no accents set apart.
@@ -113,15 +119,20 @@ ORACLE: dict[str, str] = {
     "p5_found": _GROUPS,
     "p5_rounds": _GROUPS,
     "p7_found": f"""
-WITH d AS (SELECT doc_id, string_split({word_key_sql('text')}, ' ') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, string_split({word_key_sql('text')}, ' ') AS w FROM eval_items WHERE text IS NOT NULL),
+WITH {plain_forms.table(True)}, {plain_forms.seen("documents", "doc_id", True, "ds")}, {plain_forms.seen("eval_items", "item_id", True, "es")},
+d AS (SELECT key AS doc_id, string_split(trim(regexp_replace(form, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')), ' ') AS w FROM ds WHERE text IS NOT NULL),
+i AS (SELECT key AS item_id, string_split(trim(regexp_replace(form, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')), ' ') AS w FROM es WHERE text IS NOT NULL),
 dg AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d)),
 ig AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
 short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS g FROM i WHERE len(w) < 10 AND w[1] <> '')
 SELECT doc_id, item_id FROM dg JOIN ig USING (g)
 UNION SELECT doc_id, item_id FROM d, short WHERE contains(' ' || array_to_string(w, ' ') || ' ', g)""",
     "p8_found": f"""
-WITH f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text WHERE a.form <> ''""",
-    "p8_forms": f"SELECT doc_id, {form_sql('text')} AS form FROM documents",
+WITH {plain_forms.table(False)}, {plain_forms.seen("documents", "doc_id")}
+SELECT a.key AS doc_id_a, b.key AS doc_id_b FROM seen a JOIN seen b ON a.form = b.form AND a.key < b.key AND a.text <> b.text WHERE a.form <> ''""",
+    "p8_forms": f"WITH {plain_forms.table(False)}, {plain_forms.seen('documents', 'doc_id')} SELECT key AS doc_id, form FROM seen",
+    "p8_classes": f"""
+WITH {plain_forms.table(False)}, {plain_forms.seen("documents", "doc_id")},
+c AS (SELECT form, min(key) AS class_id, count(*) AS documents, count(DISTINCT text) AS texts FROM seen WHERE form <> '' GROUP BY form HAVING count(DISTINCT text) > 1)
+SELECT key AS doc_id, class_id, documents, texts FROM seen JOIN c USING (form)""",
 }

@@ -18,7 +18,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import HOT_FLOOR, Workspace, hot_keys, lookup, salted_join
+from graphloom.functions.arrow import duckdb_session, pieces
+from graphloom.runtime import HOT_ROWS, TILE, Workspace, hot_keys, hot_pairs, lookup, salted_join
 
 #: Letters of other alphabets that are drawn like a Latin letter, and that letter.
 LOOK_ALIKES = {
@@ -30,6 +31,12 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
     # Armenian
     "օ": "o", "Օ": "O",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # Letters of phonetic alphabets
+    "ɑ": "a", "ɡ": "g",
 }
 #: Signs and kana of one shape.
 SAME_SHAPE = {"‐": "-", "‑": "-", "﹣": "-", "ʼ": "’", "µ": "μ", "へ": "ヘ", "べ": "ベ", "ぺ": "ペ"}
@@ -43,11 +50,8 @@ FILLERS = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x316
 DRAWN_FORMATS = {*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 
 
-@lru_cache
-def undrawn() -> str:
-    """RE2 class of characters that are not drawn: controls that are no blanks, format characters, fillers."""
-    codes = {c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cc", "Cf")} - DRAWN_FORMATS | {*FILLERS}
-    codes -= {*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85}
+def char_class(codes: set[int]) -> str:
+    """RE2 class of code points."""
     parts, start = [], None
     for c in sorted(codes):
         start = c if start is None else start
@@ -57,6 +61,20 @@ def undrawn() -> str:
     return "[" + "".join(parts) + "]"
 
 
+@lru_cache
+def undrawn() -> frozenset[int]:
+    """Characters that are not drawn: controls that are no blanks, format characters, fillers."""
+    codes = {c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Cc", "Cf")} - DRAWN_FORMATS | {*FILLERS}
+    return frozenset(codes - {*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85})
+
+
+@lru_cache
+def uncomposed() -> frozenset[int]:
+    """Characters at which text may not be in composed form: marks, joining vowels and consonants of Hangul, and characters that stand for others."""
+    jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    return frozenset(jamo | {c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c))[0] == "M" or unicodedata.normalize("NFC", chr(c)) != chr(c))})
+
+
 @lru_cache
 def mappings() -> tuple[dict[str, str], dict[str, str]]:
     """(one character to one, one character to several), by rule."""
@@ -86,38 +104,24 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+@lru_cache
 def form_sql(text: str) -> str:
-    """DuckDB SQL for the consistent form of ``text``."""
+    """DuckDB SQL for the consistent form of ``text``.
+
+    Most texts, of whatever alphabet, hold no character that is changed; one search tells, and only blanks are reduced.
+    Joined forms are replaced only in texts that hold one.
+    """
     one, many = mappings()
-    visible = f"regexp_replace({text}, '{undrawn()}', '', 'g')"
+    visible = f"regexp_replace({text}, '{char_class(undrawn())}', '', 'g')"
     mapped = f"translate({visible}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    parted = mapped
     for char, to in many.items():
-        mapped = f"replace({mapped}, {_quoted(char)}, {_quoted(to)})"
+        parted = f"replace({parted}, {_quoted(char)}, {_quoted(to)})"
+    joined = {ord(c) for c in many}
     # An accent set apart meets its letter only once the letter is mapped; then precomposed look-alikes can't be left over.
-    full = f"nfc_normalize({mapped})"
-    plain = f"regexp_full_match({text}, '[\\x20-\\x7E\\n]*')"
-    return f"trim(regexp_replace(CASE WHEN {plain} THEN {text} ELSE {full} END, '{BLANK}+', ' ', 'g'))"
-
-
-def duckdb_session():
-    import duckdb
-
-    return duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-
-
-def pieces(batch, column: int, most: int = 4_000_000) -> Iterator:
-    """The batch in slices of about ``most`` bytes of ``column``, whole rows each."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if held and held + size > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield batch.slice(start)
+    full = f"nfc_normalize(CASE WHEN regexp_matches({text}, '{char_class(joined)}') THEN {parted} ELSE {mapped} END)"
+    changed = char_class(undrawn() | uncomposed() | {ord(c) for c in one} | joined)
+    return f"trim(regexp_replace(CASE WHEN regexp_matches({text}, '{changed}') THEN {full} ELSE {text} END, '{BLANK}+', ' ', 'g'))"
 
 
 def _forms(sql: str):
@@ -144,26 +148,50 @@ def consistent_form(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_forms(sql), f"id {kind}, text string, form string")
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def _members(df: DataFrame, id_col: str, text_col: str, work: Workspace, hot_rows: int) -> tuple[DataFrame, int]:
+    """``id, f, t, texts``: every document of a form that has several distinct texts, by digests of form and text, and their number."""
+    forms = consistent_form(df, id_col, text_col).where((F.col("form") != "") & F.col("id").isNotNull())
+    keyed = work.cut(forms.select("id", F.unhex(F.md5(F.col("form").cast("binary"))).alias("f"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("t")))
+    texts = keyed.groupBy("f", "t").agg(F.count("*").alias("n"))
+    several = work.cut(texts.groupBy("f").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("texts") > 1))
+    hot = hot_keys(None, "f", several.agg(F.sum("n")).first()[0] or 0, several.select("f", "n"), hot_rows)
+    members = work.cut(lookup(keyed, several.select("f", "texts"), "f", hot))
+    return members, members.count()
+
+
+def look_alike_classes(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``id, class_id, documents, texts``: every document that looks the same as one with another text.
+
+    ``class_id`` is the least id of the class, ``documents`` and ``texts`` the number of its documents and distinct texts. One row for each
+    document, however large the class. Null and blank texts are in no class.
+    """
+    work = Workspace(df.sparkSession, "classes")
+    members, n = _members(df, id_col, text_col, work, hot_rows)
+    classes = work.cut(members.groupBy("f").agg(F.min("id").alias("class_id"), F.count("*").alias("documents")))
+    hot = hot_keys(None, "f", n, classes.select("f", F.col("documents").alias("n")), hot_rows)
+    return lookup(members, classes, "f", hot).select("id", "class_id", "documents", "texts")
+
+
+def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, hot_rows: int = HOT_ROWS, tile: int = TILE) -> DataFrame:
     """``id_a, id_b`` (the smaller first) of documents whose texts differ but have one consistent form.
 
     Null and blank texts make no pair, and neither do equal texts. The comparison
     runs on digests of the form and of the text (128 and 128 bits). First the
     distinct texts of each form are counted; only forms with two or more distinct
     texts go on, so that mirrored copies of one text, however many, are not met by a
-    join. The pairs that come out are those asked for, no others are built.
+    join. Distinct texts of a form are paired, then the documents that hold them; keys with
+    many rows or results are cut into tiles in each of the joins. The pairs that come out are those
+    asked for, no others are built (see ``look_alike_classes`` for one row a document).
     """
     work = Workspace(df.sparkSession, "looks")
-    forms = consistent_form(df, id_col, text_col).where((F.col("form") != "") & F.col("id").isNotNull())
-    keyed = work.cut(forms.select("id", F.unhex(F.md5(F.col("form").cast("binary"))).alias("f"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("t")))
-    texts = work.cut(keyed.groupBy("f", "t").agg(F.count("*").alias("n")))
-    several = work.cut(texts.groupBy("f").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where(F.col("texts") > 1))
-    total = several.agg(F.sum("n")).first()[0] or 0
-    members = work.cut(lookup(keyed, several.select("f"), "f", hot_keys(keyed, "f", total, several.select("f", "n"), hot_floor)))
-    # Pairs of distinct texts first, then the documents that hold them; a text with very many copies is salted.
-    distinct = members.select("f", "t").distinct()
-    two = distinct.withColumnRenamed("t", "t_a").join(distinct.withColumnRenamed("t", "t_b"), "f").where(F.col("t_a") < F.col("t_b")).select("t_a", "t_b")
-    hot = hot_keys(members, "t", total, texts.groupBy("t").agg(F.max("n").alias("n")), hot_floor)
-    first = salted_join(members.select(F.col("t").alias("t_a"), F.col("id").alias("x")), two, "t_a", hot, "x").select("t_b", "x")
-    both = salted_join(members.select(F.col("t").alias("t_b"), F.col("id").alias("y")), first, "t_b", hot, "y")
+    members, n = _members(df, id_col, text_col, work, hot_rows)
+    distinct = work.cut(members.select("f", "t").distinct())
+    large = n > tile
+    hot = hot_pairs(distinct, distinct, "f", hot_rows, tile) if large else None
+    two = salted_join(distinct.withColumnRenamed("t", "t_a"), distinct.withColumnRenamed("t", "t_b"), "f", hot, "t_a", "t_b")
+    two = work.cut(two.where(F.col("t_a") < F.col("t_b")).select("t_a", "t_b"))
+    held = members.select(F.col("t").alias("t_a"), F.col("id").alias("x"))
+    first = work.cut(salted_join(held, two, "t_a", hot_pairs(held, two, "t_a", hot_rows, tile) if large else None, "x", "t_b").select("t_b", "x"))
+    held = members.select(F.col("t").alias("t_b"), F.col("id").alias("y"))
+    both = salted_join(held, first, "t_b", hot_pairs(held, first, "t_b", hot_rows, tile) if large else None, "y", "x")
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
