@@ -11,7 +11,7 @@ as much as many short words of the same length.
 A block is a part of a partition's texts, of about ``BLOCK_CHARS`` characters; words
 don't depend on each other, so the blocks give what one block of the whole corpus
 would give, and no text and no vocabulary of the corpus is ever shuffled. Words
-encoded once stay in a bounded table of the task for the blocks after.
+encoded once stay in a bounded table of the worker process for all blocks and tasks after.
 """
 
 from __future__ import annotations
@@ -24,19 +24,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.visual import pieces
+from graphloom.functions.arrow import pieces
 
 #: Where the public vocabulary files lie, unless given.
 TOKENIZERS = "/opt/tokenizers"
 BLOCK_CHARS = 4_000_000
-#: Characters of words that a task keeps encoded; beyond, the table starts anew.
+#: Characters of words in each of the two generations of a worker's table of encoded words.
 KEPT_CHARS = 8_000_000
 #: Fixed value: the pattern that cuts text into words for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_loaded: dict[int, Vocabulary] = {}
-
-
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in the vocabulary file: itself if printable, else one from 256 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -117,38 +114,57 @@ class Vocabulary:
         return out
 
 
-def _encode(model, mark: int):
+class Known:
+    """Words encoded already, in two generations of bounded size: when the new one is full it becomes the old one.
+
+    Words that are met again move to the new generation, so frequent words stay.
+    """
+
+    def __init__(self, chars: int) -> None:
+        self.chars, self.held, self.new, self.old = chars, 0, {}, {}
+
+    def keep(self, word: str, ids: tuple[int, ...]) -> None:
+        if self.held > self.chars:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.new[word] = ids
+        self.held += len(word) + 8
+
+    def recall(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of those of ``words`` that are known."""
+        out = {}
+        for w in words:
+            ids = self.new.get(w)
+            if ids is None:
+                ids = self.old.get(w)
+                if ids is None:
+                    continue
+                self.keep(w, ids)
+            out[w] = ids
+        return out
+
+
+def _encode(model):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import regex
 
-        if mark not in _loaded:
-            _loaded.clear()
-            _loaded[mark] = Vocabulary(model.value)
-        vocabulary = _loaded[mark]
-        cut = regex.compile(PATTERN).findall
-        known: dict[str, tuple[int, ...]] = {}
-        kept = 0
+        # The broadcast variable lives as long as the worker: the vocabulary is read, and words are remembered, once for all its tasks.
+        if not hasattr(model, "_tables"):
+            model._tables = Vocabulary(model.value), Known(KEPT_CHARS), regex.compile(PATTERN).findall
+        vocabulary, known, cut = model._tables
         for batch in batches:
             for part in pieces(batch, 1, BLOCK_CHARS):
-                texts = part.column(1).to_pylist()
-                fresh: set[str] = set()
-                for text in texts:
-                    if text:
-                        fresh.update(cut(text))
-                fresh.difference_update(known)
-                if kept > KEPT_CHARS:
-                    known.clear()
-                    kept = 0
-                    fresh = {w for text in texts if text for w in cut(text)}
-                words = sorted(fresh)
-                kept += sum(map(len, words)) + 8 * len(words)
-                known.update(zip(words, vocabulary.replay(words), strict=True))
+                texts = [cut(text) if text else () for text in part.column(1).to_pylist()]
+                every = set().union(*texts)
+                table = known.recall(every)
+                fresh = sorted(every.difference(table))
+                for word, ids in zip(fresh, vocabulary.replay(fresh), strict=True):
+                    table[word] = ids
+                    known.keep(word, ids)
                 ids, ends = array("i"), array("i", [0])
-                for text in texts:
-                    if text:
-                        for w in cut(text):
-                            ids.extend(known[w])
+                for words in texts:
+                    for w in words:
+                        ids.extend(table[w])
                     ends.append(len(ids))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
@@ -164,12 +180,8 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary_file: st
     whole whatever their length. ``vocabulary_file``: a byte-level BPE file with the
     pattern above (the default is byte_bpe_50k).
     """
-    import hashlib
-
     path = vocabulary_file or f"{TOKENIZERS}/byte_bpe_50k.json"
     with open(path, encoding="utf-8") as f:
-        text = f.read()
-    model = df.sparkSession.sparkContext.broadcast(text)
-    mark = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
+        model = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(model, mark), f"id {kind}, ids array<int>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encode(model), f"id {kind}, ids array<int>")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.runtime import HOT_FLOOR, Workspace, hot_keys, lookup
+from graphloom.runtime import HOT_ROWS, Workspace, hot_keys, lookup
 
 
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -111,10 +111,10 @@ def _edge_of_words(words: Column) -> Column:
     return F.when(words.startswith("src ") & (cut_s > 1), src_first).when(words.startswith("target ") & (cut_t > 1), target_first)
 
 
-def collapse_copies(df: DataFrame, id_col: str, record: Column, kind: T.DataType, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def collapse_copies(df: DataFrame, id_col: str, record: Column, kind: T.DataType, hot_rows: int = HOT_ROWS, ordered_arrays: bool = False) -> DataFrame:
     """Every record with its group: ``rec_id``, ``first_id`` (the least id of the group) and ``copies`` (its size).
 
-    ``record`` is the nested value to compare, of type ``kind``. Null records are in
+    ``record`` is the nested value to compare, of type ``kind``; with ``ordered_arrays`` the order of array elements counts. Null records are in
     no group and are left out; rows with a null id too. Groups of any size are
     counted by partial aggregation, and members of a hot group meet their first
     record by broadcast, so a group with a third of all rows makes no long task.
@@ -122,7 +122,7 @@ def collapse_copies(df: DataFrame, id_col: str, record: Column, kind: T.DataType
     work = Workspace(df.sparkSession, "merkle")
     value, plain = normalised(F.col("_r"), kind)
     rows = df.select(F.col(id_col).alias("rec_id"), record.alias("_r")).where(F.col("rec_id").isNotNull()).select("rec_id", value.alias("_n"))
-    rows = rows.select("rec_id", F.when(F.col("_n").isNotNull(), F.unhex(digest(F.col("_n"), plain))).alias("_d"), canonical(F.col("_n"), plain).alias("_full"))
+    rows = rows.select("rec_id", F.when(F.col("_n").isNotNull(), F.unhex(digest(F.col("_n"), plain, ordered_arrays))).alias("_d"), canonical(F.col("_n"), plain, ordered_arrays).alias("_full"))
     # Null records go only after the cut: as a filter before it, the whole parsing would be pushed down and done twice.
     rows = work.cut(rows).where(F.col("_d").isNotNull())
     # Grouped by root digest; that the whole structure is part of the key is the confirmation.
@@ -135,24 +135,25 @@ def collapse_copies(df: DataFrame, id_col: str, record: Column, kind: T.DataType
     several = groups.where(~F.col("_alone"))
     total = several.agg(F.sum("copies")).first()[0] or 0
     if shared.isEmpty():
-        hot = hot_keys(rows, "_d", total, several.select("_d", F.col("copies").alias("n")), hot_floor)
+        hot = hot_keys(rows, "_d", total, several.select("_d", F.col("copies").alias("n")), hot_rows)
         members = lookup(rows.select("rec_id", "_d"), several.select("_d", "first_id", "copies"), "_d", hot)
     else:
         members = rows.join(several.drop("_alone"), ["_d", "_full"])
     return members.select("rec_id", "first_id", "copies").unionByName(alone)
 
 
-def canonical(column: Column, kind: T.DataType) -> Column:
+def canonical(column: Column, kind: T.DataType, ordered_arrays: bool = False) -> Column:
     """Canonical text of a normalised value: unordered nodes in sorted order, lengths before contents."""
 
     def sized(c: Column) -> Column:
         return F.concat(F.length(c).cast("string"), F.lit(":"), c)
 
     if isinstance(kind, T.StructType):
-        kids = F.sort_array(F.array(*[F.concat(F.lit(f.name.lower() + "="), canonical(column.getField(f.name), f.dataType)) for f in kind.fields]))
+        kids = F.sort_array(F.array(*[F.concat(F.lit(f.name.lower() + "="), canonical(column.getField(f.name), f.dataType, ordered_arrays)) for f in kind.fields]))
         body, tag = F.concat_ws(",", F.transform(kids, sized)), "s"
     elif isinstance(kind, T.ArrayType):
-        kids = F.sort_array(F.transform(column, lambda x: canonical(x, kind.elementType)))
+        kids = F.transform(column, lambda x: canonical(x, kind.elementType, ordered_arrays))
+        kids = kids if ordered_arrays else F.sort_array(kids)
         body, tag = F.concat_ws(",", F.transform(kids, sized)), "a"
     elif isinstance(kind, T.BinaryType):
         body, tag = F.hex(column), "b"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import encode
-from graphloom.llm.encode import TOKENIZERS, Vocabulary, encode_corpus
+from graphloom.llm.encode import TOKENIZERS, Known, Vocabulary, encode_corpus
 
 TEXTS = [
     None, "", " ", "\n\n  \t", "Hello world's end, they're 12345 x!!", "<|endoftext|> is text", "héllo wörld ÆØ", "日本語のテキスト と 語", "Привет, мир", "😀😀 e\u0301 \u200b\ufeff",
@@ -58,3 +58,13 @@ def test_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     assert sorted((str(r[0]), len(r[1])) for r in encode_corpus(df, "doc_id", "text").collect()) == [("1", 1), ("1", 1), ("None", 0)]
     assert encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_words_are_remembered_in_two_generations():
+    known = Known(30)
+    for w in ("aa", "bb", "cc", "dd"):
+        known.keep(w, (1,))
+    assert len(known.new) == 4 and not known.old
+    known.keep("ee", (2,))
+    assert set(known.old) == {"aa", "bb", "cc", "dd"} and set(known.new) == {"ee"}
+    assert known.recall({"aa", "zz"}) == {"aa": (1,)} and "aa" in known.new

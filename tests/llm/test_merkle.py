@@ -27,10 +27,10 @@ BODIES = [
 ]
 
 
-@pytest.mark.parametrize("floor", [0, 10**6])
+@pytest.mark.parametrize("floor", [1, 10**6])
 def test_groups(spark, monkeypatch, floor):
     df = spark.createDataFrame(BODIES, "rec_id long, body string").withColumn("_d", F.lit("clash")).withColumn("copies", F.lit(9))
-    got = collapse_copies(edges_of_records(df, "rec_id", "body"), "rec_id", F.col("edge"), EDGE, hot_floor=floor)
+    got = collapse_copies(edges_of_records(df, "rec_id", "body"), "rec_id", F.col("edge"), EDGE, hot_rows=floor)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 1), (5, 5, 1), (6, 6, 1), (11, 1, 4), (13, 13, 2), (14, 13, 2)]
 
 
@@ -69,3 +69,10 @@ def test_numbers_keep_sign_and_point(spark):
     rows = [(1, (5, 1.5)), (2, (-5, 1.5)), (3, (5, 15.0)), (4, (5, 1.5))]
     df = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.LongType()), T.StructField("r", kind)]))
     assert sorted(map(tuple, collapse_copies(df, "id", F.col("r"), kind).collect())) == [(1, 1, 2), (2, 2, 1), (3, 3, 1), (4, 1, 2)]
+
+
+def test_order_of_arrays(spark):
+    kind = T.ArrayType(T.StringType())
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["B", "a"]), (3, ["A", "b"])], "i long, r array<string>")
+    assert sorted(map(tuple, collapse_copies(df, "i", F.col("r"), kind).collect())) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
+    assert sorted(map(tuple, collapse_copies(df, "i", F.col("r"), kind, ordered_arrays=True).collect())) == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
