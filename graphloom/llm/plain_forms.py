@@ -39,7 +39,7 @@ def shown(char: str) -> str:
     code, kind, name = ord(char), unicodedata.category(char), unicodedata.name(char, "")
     if kind[0] == "Z" or code in BLANKS:
         return " "
-    if name.startswith("VARIATION SELECTOR") or name.startswith("MONGOLIAN FREE VARIATION") or name == "MONGOLIAN VOWEL SEPARATOR" or "FILLER" in name and "HANGUL" in name or "JOINER" in name or code in (0x17B4, 0x17B5):
+    if name.startswith("VARIATION SELECTOR") or name.startswith("MONGOLIAN FREE VARIATION") or name == "MONGOLIAN VOWEL SEPARATOR" or "FILLER" in name and "HANGUL" in name or name == "COMBINING GRAPHEME JOINER" or code in (0x17B4, 0x17B5):
         return ""
     signs = name.startswith(("ARABIC NUMBER", "ARABIC SIGN", "ARABIC FOOTNOTE", "ARABIC END OF", "ARABIC DISPUTED", "ARABIC POUND", "ARABIC PIASTRE", "SYRIAC ABBREVIATION", "KAITHI NUMBER"))
     if kind in ("Cc", "Cf") and not signs:
