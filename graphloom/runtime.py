@@ -27,7 +27,8 @@ TILE = 4096
 #: So many hot keys at most are broadcast as they are; more of them are marked by hash bucket.
 FEW_HOT = 10_000
 BUCKETS = 65_536
-HOT_FLOOR = HOT_ROWS
+#: A join with hot keys has so many tasks at most for its parts.
+MOST_TASKS = 10_000
 
 _local_root: str | None = None
 _workspaces: list[str] = []
@@ -136,13 +137,14 @@ class Hot:
     table: DataFrame
     by_bucket: bool
     keys: tuple[str, ...]
+    tiles: int
 
     def on(self, keys: Sequence[str]) -> Hot:
         """The same keys under other column names."""
         if tuple(keys) == self.keys:
             return self
         table = self.table if self.by_bucket else self.table.withColumnsRenamed(dict(zip(self.keys, keys, strict=True)))
-        return Hot(table, self.by_bucket, tuple(keys))
+        return Hot(table, self.by_bucket, tuple(keys), self.tiles)
 
     def mark(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_pl`` and ``_pr``, 1 for keys that aren't hot."""
@@ -169,9 +171,10 @@ def _hot_table(parts: DataFrame, keys: tuple[str, ...]) -> Hot | None:
     if not rows:
         return None
     if len(rows) <= FEW_HOT:
-        return Hot(spark.createDataFrame(rows, wanted.schema), False, keys)
+        return Hot(spark.createDataFrame(rows, wanted.schema), False, keys, sum(r["_pl"] * r["_pr"] for r in rows))
     buckets = wanted.groupBy(_bucket(keys).alias("_bucket")).agg(F.max("_pl").alias("_pl"), F.max("_pr").alias("_pr"))
-    return Hot(spark.createDataFrame(buckets.collect(), buckets.schema), True, keys)
+    rows = buckets.collect()
+    return Hot(spark.createDataFrame(rows, buckets.schema), True, keys, sum(r["_pl"] * r["_pr"] for r in rows))
 
 
 def hot_keys(df: DataFrame | None, key: str | Sequence[str], total: int | None = None, counts: DataFrame | None = None, limit: int = HOT_ROWS) -> Hot | None:
@@ -247,5 +250,8 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], hot: Hot, spread
         copies = F.when(F.col(other) > 1, F.sequence(F.lit(0), F.col(other) - 1)).otherwise(F.array(F.lit(0)))
         return hot.mark(df).withColumn(mine, part).withColumn(theirs, F.explode(copies)).drop("_pl", "_pr")
 
+    on = [*keys, "_sl", "_sr"]
+    # A given number of partitions, or adaptive execution would put parts together again that are small until they are joined.
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(hot.tiles, MOST_TASKS))
     l, r = cut(left, "_pl", "_pr", "_sl", "_sr", spread), cut(right, "_pr", "_pl", "_sr", "_sl", spread_right)  # noqa: E741
-    return l.join(r, [*keys, "_sl", "_sr"], how).drop("_sl", "_sr")
+    return l.repartition(parts, *on).join(r.repartition(parts, *on), on, how).drop("_sl", "_sr")
