@@ -95,19 +95,26 @@ def build(items: Sequence[tuple[object, str]], n: int) -> list[WuManber]:
     return [WuManber(c) for c in classes.values()]
 
 
-def _keys(batches: Iterator) -> Iterator:
-    """(id, words with one space between) of (id, text)."""
-    import pyarrow as pa
+def _keys():
+    """Gives (id, words with one space between) of (id, text)."""
+    # The SQL is made here, on the driver: its tables take a second or two.
+    sql = f"SELECT id, {word_key_sql('text')} AS k FROM part"
 
-    con = duckdb_session()
-    for batch in batches:
-        for part in pieces(batch, 1):
-            con.register("part", pa.Table.from_batches([part]))
-            yield from con.sql(f"SELECT id, {word_key_sql('text')} AS k FROM part").to_arrow_table().to_batches()
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        con = duckdb_session()
+        for batch in batches:
+            for part in pieces(batch, 1):
+                con.register("part", pa.Table.from_batches([part]))
+                yield from con.sql(sql).to_arrow_table().to_batches()
+
+    return run
 
 
 def _search(block, n: int, item_type: str, ready: bool):
     """Searches (id, text) or, if ``ready``, (id, words) for the items of a broadcast block."""
+    keys = None if ready else _keys()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,7 +123,7 @@ def _search(block, n: int, item_type: str, ready: bool):
         if not hasattr(block, "_searchers"):
             block._searchers = build(block.value, n)
         searchers = block._searchers
-        for part in (p for batch in batches for p in pieces(batch, 1)) if ready else _keys(batches):
+        for part in (p for batch in batches for p in pieces(batch, 1)) if keys is None else keys(batches):
             docs, hits = [], []
             for doc, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = key.split(" ")
@@ -144,14 +151,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str,
     wanted = items.select(F.col(item_id).cast(item_kind).alias("id"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull())
     source = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text")).where(F.col("text").isNotNull())
     work = Workspace(spark, "leaks")
-    keys = work.cut(wanted.mapInArrow(_keys, f"id {item_kind}, k string").where(F.col("k") != "").select("id", "k", (F.length("k") - F.length(F.replace("k", F.lit(" "), F.lit(""))) + 1).alias("n")))
+    keys = work.cut(wanted.mapInArrow(_keys(), f"id {item_kind}, k string").where(F.col("k") != "").select("id", "k", (F.length("k") - F.length(F.replace("k", F.lit(" "), F.lit(""))) + 1).alias("n")))
     total = keys.agg(F.sum("n")).first()[0]
     if not total:
         return spark.createDataFrame([], f"id {kind}, item {item_kind}")
     ready = total > block_words
     if ready:
         # More than one block: the corpus is brought to words once, and each block reads those.
-        source = work.cut(source.mapInArrow(_keys, f"id {kind}, k string").where(F.col("k") != ""))
+        source = work.cut(source.mapInArrow(_keys(), f"id {kind}, k string").where(F.col("k") != ""))
     out, block, held = None, [], 0
 
     def searched() -> DataFrame:
