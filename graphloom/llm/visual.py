@@ -93,6 +93,8 @@ def mappings() -> tuple[dict[str, str], dict[str, str]]:
     # Wide and narrow forms, and joined forms.
     for code in range(0x110000):
         kind, _, parts = unicodedata.decomposition(chr(code)).partition(" ")
+        if not kind:
+            continue
         joined = any(a <= code <= b for a, b in JOINED)
         if kind in ("<wide>", "<narrow>") or kind == "<compat>" and joined:
             plain = "".join(chr(int(x, 16)) for x in parts.split())
