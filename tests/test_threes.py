@@ -31,7 +31,7 @@ def written(monkeypatch):
     return rows
 
 
-@pytest.mark.parametrize(("mode", "filter_last"), [("exact", True)])
+@pytest.mark.parametrize(("mode", "filter_last"), [("exact", True), ("parity", False)])
 def test_frequent_subgraphs_write_no_subgraphs(spark, written, mode, filter_last):
     got = algorithms.frequent_subgraphs(graph(spark, HUB), 3, 2, mode=mode, filter_last=filter_last)
     assert {n: [r.support for r in c.collect()] for n, (c, _) in got.items()} == {1: [64], 2: [60 * 59 // 2 + 3 + 3 * 2 + 2], 3: [5]}
