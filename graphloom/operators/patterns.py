@@ -28,7 +28,11 @@ def _codes(quicks: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def quick_counts(tuples: DataFrame, labelled: bool) -> DataFrame:
     """``quick, pattern, n``: distinct quick patterns with their class and number of tuples. Labels of edges count if ``labelled`` and there are any."""
-    counted = tuples.select(quick_pattern(labelled, labelled and "g" in tuples.columns).alias("quick")).groupBy("quick").agg(F.count("*").alias("n"))
+    # The arrays that the text is made of are what is counted; the text is made of the distinct ones only.
+    edge_labels = labelled and "g" in tuples.columns
+    parts = ["q", "h", *(["l"] if labelled else []), *(["g"] if edge_labels else [])]
+    counted = tuples.groupBy(*parts).agg(F.count("*").alias("n"))
+    counted = counted.select(quick_pattern(labelled, edge_labels).alias("quick"), "n")
     return counted.withColumn("pattern", F.pandas_udf(_codes, T.StringType())(F.col("quick")))
 
 

@@ -48,3 +48,9 @@ def test_wedges_and_triangles_are_the_tuples_of_the_rule(spark):
     for tile in (1, 4096):
         assert sorted(map(str, threes.wedge_tuples(threes.wedges(edges, tile)).collect())) == sorted(map(str, two.collect()))
     assert sorted(map(str, threes.triangle_tuples(threes.triangles(edges, work)).collect())) == sorted(map(str, three.collect()))
+
+
+def test_motifs_write_no_subgraphs(spark, written):
+    got = algorithms.motif_levels(graph(spark, HUB), 3)
+    assert {n: level.count() for n, level in got.items()} == {2: 1781, 3: 5}
+    assert max(written) <= 2 * len(HUB)
