@@ -54,3 +54,11 @@ def test_motifs_write_no_subgraphs(spark, written):
     got = algorithms.motif_levels(graph(spark, HUB), 3)
     assert {n: level.count() for n, level in got.items()} == {2: 1781, 3: 5}
     assert max(written) <= 2 * len(HUB)
+
+
+def test_general_cliques_read_only_levels_that_can_be_complete(spark, written):
+    found = algorithms.general_cliques(graph(spark, HUB), 3)
+    assert sorted(tuple(r.members) for r in found.collect()) == [(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 4, 5), (1, 2, 3)]
+    assert max(written) <= 2 * len(HUB)
+    # Wedges are never complete: the plan doesn't build them.
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
