@@ -62,3 +62,36 @@ def test_general_cliques_read_only_levels_that_can_be_complete(spark, written):
     assert max(written) <= 2 * len(HUB)
     # Wedges are never complete: the plan doesn't build them.
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fused_growth_goes_on_only_where_it_can(spark, written):
+    g = graph(spark, HUB)
+    edges = mining.by_degree(g.labelled_edges())
+    grown = mining.expand_at(mining.shuffle_by_vertex(mining.init(edges)), edges, 3)
+    assert grown.count() == 1781
+    keyed = mining.by_vertex_growing(grown, 3)
+    # One for each wedge at the least vertex, here one for each triangle, not three for each wedge.
+    assert keyed.count() == 5
+    assert mining.expand_at(keyed, edges, 3).count() == 5
+
+
+def test_growing_vertices_lose_no_tuple(spark):
+    pairs = [p for p in combinations(range(8), 2) if (p[0] * 5 + p[1] * 3) % 4]
+    edges = graph(spark, pairs).labelled_edges()
+    level = mining.init(edges)
+    for _ in range(3):
+        grown = mining.expand_at(mining.by_vertex(level), edges, 4)
+        some = mining.expand_at(mining.by_vertex(level), edges, 4, growing=True)
+        want = mining.expand_at(mining.by_vertex(grown), edges, 4)
+        got = mining.expand_at(mining.by_vertex_growing(some, 4), edges, 4)
+        assert want.count() and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        level = grown
+
+
+def test_numbers_by_degree(spark):
+    edges = mining.by_degree(graph(spark, HUB).labelled_edges()).collect()
+    degree = {}
+    for r in edges:
+        degree[r.src] = degree.get(r.src, 0) + 1
+    order = [degree[x] for x in sorted(degree)]
+    assert len(edges) == 2 * len(HUB) and order == sorted(order) and order[-1] == 60
