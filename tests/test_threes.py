@@ -95,3 +95,12 @@ def test_numbers_by_degree(spark):
         degree[r.src] = degree.get(r.src, 0) + 1
     order = [degree[x] for x in sorted(degree)]
     assert len(edges) == 2 * len(HUB) and order == sorted(order) and order[-1] == 60
+
+
+def test_general_cliques_grow_only_what_may_be_complete(spark, written):
+    pairs = [*HUB, *[p for p in combinations(range(70, 76), 2)], (75, 80)]
+    have = set(pairs)
+    want = sorted(c for k in (3, 4, 5) for c in combinations(sorted({x for p in pairs for x in p}), k) if all(p in have for p in combinations(c, 2)))
+    assert sorted(tuple(r.members) for r in algorithms.general_cliques(graph(spark, pairs), 5).collect()) == want
+    # Wedges alone are more than 1770.
+    assert max(written) < 400
