@@ -104,3 +104,19 @@ def test_general_cliques_grow_only_what_may_be_complete(spark, written):
     assert sorted(tuple(r.members) for r in algorithms.general_cliques(graph(spark, pairs), 5).collect()) == want
     # Wedges alone are more than 1770.
     assert max(written) < 400
+
+
+def test_shuffled_levels_send_only_what_may_grow(spark, monkeypatch):
+    sent, growing = [], mining.by_vertex_growing
+
+    def counted(tuples, most):
+        out = growing(tuples, most)
+        sent.append((out.count(), mining.by_vertex(tuples).count()))
+        return out
+
+    monkeypatch.setattr(mining, "by_vertex_growing", counted)
+    pairs = [p for p in combinations(range(7), 2) if (p[0] * 5 + p[1] * 3) % 4]
+    levels = algorithms.motif_levels(graph(spark, pairs), 4, dedupe="rule", shuffled=True)
+    want = algorithms.motif_levels(graph(spark, pairs), 4, dedupe="rule")
+    assert {n: x.count() for n, x in levels.items()} == {n: x.count() for n, x in want.items()}
+    assert len(sent) == 3 and sent[-1][0] < sent[-1][1] // 2
