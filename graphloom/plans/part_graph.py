@@ -18,7 +18,8 @@ def part_pairs(spark: SparkSession, sf: str, least_quantity: float = 0.0) -> Dat
 
 def part_links(spark: SparkSession, sf: str, least_quantity: float = 0.0) -> Graph:
     """The same graph with each link in one direction and once for each order, not written: for programs that reduce edges themselves."""
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where(F.col("l_quantity") >= least_quantity).select("l_orderkey", "l_partkey").distinct()
+    # One shuffle, by the order, is all that the join of the lines with themselves needs.
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where(F.col("l_quantity") >= least_quantity).select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     a, b = lines.withColumnRenamed("l_partkey", "src"), lines.withColumnRenamed("l_partkey", "dst")
     return Graph(a.join(b, "l_orderkey").where(F.col("src") < F.col("dst")).select("src", "dst"))
 
